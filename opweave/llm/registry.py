@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("jaccard", "fingerprint", "mixing", "urls")
+MODULES = ("ann", "jaccard", "fingerprint", "mixing", "urls")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
