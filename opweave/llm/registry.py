@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ann", "jaccard", "fingerprint", "toxicity", "mixing", "urls")
+MODULES = ("ann", "jaccard", "fingerprint", "toxicity", "lm", "mixing", "urls")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
