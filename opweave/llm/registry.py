@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ann", "jaccard", "fingerprint", "toxicity", "pieces", "lm", "pii", "mixing", "urls")
+MODULES = ("ann", "jaccard", "fingerprint", "toxicity", "pieces", "lm", "pii", "dedup", "mixing", "urls")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
