@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a count-vector R-tree.
 
-A document's set holds its distinct shingles. The tokens (shingle hashes) fall into ``GROUPS`` groups;
-the number of tokens in each group makes the document a point. For two points the sum of coordinate
+A document's set holds its distinct shingles. The tokens (shingle hashes) fall into groups, the more the
+larger the set (classes of sizes, see ``groups_of``); the number of tokens in each group makes the document a point. For two points the sum of coordinate
 minima bounds the overlap of the sets from above, and for a box of points the coordinate maxima do the
 same; the R-tree prunes by these bounds, and what survives is verified on the sets themselves.
 
@@ -33,7 +33,8 @@ from opweave.llm._spark import components, parts, written
 from opweave.llm._text import mix, shingle_sets
 from opweave.session import table
 
-GROUPS = 64
+#: Groups of the smallest class; each class has four times the groups, for sets up to four times as large.
+GROUPS, LEAST_CLASS = 64, 768
 #: Points in a leaf of the tree, and children of an inner node.
 FANOUT = 32
 #: Sets in a chunk of a candidate component; a tile holds two chunks.
@@ -44,7 +45,6 @@ SAMPLE_DOCS, SAMPLE_TOKENS = 10_000, 65_536
 BUCKET_DOCS = 8_000
 _BLOB = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 _BLOB_DDL = "bucket long, kind int, blob binary"
-KEYS, POINTS = 0, 1
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -52,8 +52,25 @@ def node_of(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), 17)).astype(np.int64))
 
 
-def point(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+def class_of(size: int) -> int:
+    k = 0
+    while size > LEAST_CLASS << 2 * k:
+        k += 1
+    return k
+
+
+def groups_of(k: int) -> int:
+    return GROUPS << 2 * k
+
+
+def classes(size: int, percent: int) -> list[int]:
+    """A set's own class, and the one below if a set of that class can be near enough: two sets that can link share a class."""
+    k = class_of(size)
+    return [k, k - 1] if k and percent * size <= 100 * (LEAST_CLASS << 2 * (k - 1)) else [k]
+
+
+def point(tokens: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((tokens % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
 def may_link(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -133,8 +150,22 @@ def _blobs(bucket: np.ndarray, rows: np.ndarray, kind: int) -> pa.RecordBatch:
 
 
 _KEY = np.dtype([("key", "u8"), ("node", "i8")])
-_POINT = np.dtype([("node", "i8"), ("n", "i8"), ("at", "u4", GROUPS)])
-_KEYED = np.dtype([("key", "u8"), ("node", "i8"), ("n", "i8"), ("at", "u4", GROUPS)])
+
+
+def keys_kind(k: int) -> int:
+    return 2 * k
+
+
+def points_kind(k: int) -> int:
+    return 2 * k + 1
+
+
+def _point(k: int) -> np.dtype:
+    return np.dtype([("node", "i8"), ("n", "i8"), ("at", "u4", (groups_of(k),))])
+
+
+def _classes(t: pa.Table) -> list[int]:
+    return sorted({k // 2 for k in t["kind"].to_pylist()})
 
 
 def _gather(t: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
@@ -192,81 +223,96 @@ def candidates(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFr
 
     def emit(batches):
         for batch in batches:
-            nodes, sizes, points, keys, owner = [], [], [], [], []
+            held: dict[int, list] = {}
+            seen: set[int] = set()
             for s in shingle_sets(batch["text"], width):
                 if not len(s):
                     continue
-                k = len(s) - -(-percent * len(s) // 100) + 1
-                first = s[:k]
+                node = node_of(s)
+                if node in seen:
+                    continue
+                seen.add(node)
+                count = len(s) - -(-percent * len(s) // 100) + 1
+                first = s[:count]
                 if len(ordered):
                     at = np.searchsorted(ordered, s).clip(max=len(ordered) - 1)
                     known = ordered[at] == s
-                    if known[:k].any():
-                        first = np.concatenate([s[~known], common[np.sort(by_hash[at[known]])]])[:k]
-                owner.append(np.full(len(first), len(nodes)))
-                keys.append(first)
-                nodes.append(node_of(s))
-                sizes.append(len(s))
-                points.append(point(s))
-            if not nodes:
-                continue
-            node, n = np.array(nodes, np.int64), np.array(sizes, np.int64)
-            _, once = np.unique(node, return_index=True)
-            mine = np.isin(owner := np.concatenate(owner), once)
-            key = np.concatenate(keys)[mine]
-            rows = np.empty(len(key), _KEY)
-            rows["key"], rows["node"] = key, node[owner[mine]]
-            yield _blobs((mix(key) % np.uint64(buckets)).astype(np.int64), rows, KEYS)
-            rows = np.empty(len(once), _POINT)
-            rows["node"], rows["n"], rows["at"] = node[once], n[once], np.array(points)[once]
-            yield _blobs(_home(rows["node"], buckets), rows, POINTS)
+                    if known[:count].any():
+                        first = np.concatenate([s[~known], common[np.sort(by_hash[at[known]])]])[:count]
+                for k in classes(len(s), percent):
+                    held.setdefault(k, []).append((node, len(s), point(s, groups_of(k)), mix(first + np.uint64(k))))
+            for k, rows in held.items():
+                keys = np.empty(sum(len(r[3]) for r in rows), _KEY)
+                keys["key"], keys["node"] = np.concatenate([r[3] for r in rows]), np.repeat([r[0] for r in rows], [len(r[3]) for r in rows])
+                yield _blobs((keys["key"] % np.uint64(buckets)).astype(np.int64), keys, keys_kind(k))
+                points = np.array([r[:3] for r in rows], _point(k))
+                yield _blobs(_home(points["node"], buckets), points, points_kind(k))
 
     def shared_keys(t: pa.Table) -> pa.Table:
-        rows = _gather(t, KEYS, _KEY)
-        rows = rows[np.lexsort((rows["node"], rows["key"]))]
-        same = rows["key"][1:] == rows["key"][:-1]
-        rows = rows[np.r_[True, ~same | (rows["node"][1:] != rows["node"][:-1])]] if len(rows) else rows
-        same = rows["key"][1:] == rows["key"][:-1]
-        rows = rows[np.r_[False, same] | np.r_[same, False]] if len(rows) else rows
-        out = [_blobs(_home(rows["node"], buckets), rows, KEYS)]
-        kept = t.filter(pa.compute.equal(t["kind"], POINTS)).select(["bucket", "kind", "blob"]).cast(_BLOB)
+        kept = t.filter(pa.compute.equal(pa.compute.bit_wise_and(t["kind"], 1), 1)).select(["bucket", "kind", "blob"]).cast(_BLOB)
+        out = []
+        for k in _classes(t):
+            rows = _gather(t, keys_kind(k), _KEY)
+            if len(rows):
+                rows = rows[np.lexsort((rows["node"], rows["key"]))]
+                same = rows["key"][1:] == rows["key"][:-1]
+                rows = rows[np.r_[True, ~same | (rows["node"][1:] != rows["node"][:-1])]]
+                same = rows["key"][1:] == rows["key"][:-1]
+                rows = rows[np.r_[False, same] | np.r_[same, False]]
+                out.append(_blobs(_home(rows["node"], buckets), rows, keys_kind(k)))
         return pa.concat_tables([pa.Table.from_batches(out, _BLOB), kept])
 
     def with_points(t: pa.Table) -> pa.Table:
-        rows, at = _gather(t, KEYS, _KEY), _gather(t, POINTS, _POINT)
-        node, first = np.unique(at["node"], return_index=True)
-        at = at[first]
-        out = np.empty(len(rows), _KEYED)
-        out["key"], out["node"] = rows["key"], rows["node"]
-        own = at[np.searchsorted(node, rows["node"])] if len(rows) else at[:0]
-        out["n"], out["at"] = own["n"], own["at"]
-        return pa.Table.from_batches([_blobs((mix(out["key"]) % np.uint64(buckets)).astype(np.int64), out, KEYS)], _BLOB)
+        out = []
+        for k in _classes(t):
+            rows, at = _gather(t, keys_kind(k), _KEY), _gather(t, points_kind(k), _point(k))
+            if not len(rows):
+                continue
+            bucket = (rows["key"] % np.uint64(buckets)).astype(np.int64)
+            out.append(_blobs(bucket, rows, keys_kind(k)))
+            node, first = np.unique(at["node"], return_index=True)
+            to = np.unique(np.rec.fromarrays([bucket, rows["node"]], names="bucket,node"))  # each point once for a bucket
+            out.append(_blobs(to["bucket"], at[first[np.searchsorted(node, to["node"])]], points_kind(k)))
+        return pa.Table.from_batches(out, _BLOB)
 
     def linked(t: pa.Table) -> pa.Table:
-        rows = _gather(t, KEYS, _KEYED)
-        rows = rows[np.argsort(rows["key"], kind="stable")]
-        node, own = np.unique(rows["node"], return_inverse=True)
-        cuts = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]]) if len(rows) else np.zeros(0, np.int64)
-        length = np.diff(np.r_[cuts, len(rows)])
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for size in np.unique(length[length <= FANOUT]):  # a single leaf: all its pairs
-            i, j = np.triu_indices(int(size), 1)
-            own_cuts = cuts[length == size]
-            for part in np.array_split(own_cuts, max(1, len(own_cuts) * len(i) // 100_000)):
-                x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                nx, ny = rows["n"][x], rows["n"][y]
-                fits = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
-                x, y = x[fits], y[fits]
-                good = may_link(np.minimum(rows["at"][x], rows["at"][y]).sum(axis=1, dtype=np.int64), nx[fits] + ny[fits], percent)
-                a.append(own[x[good]])
-                b.append(own[y[good]])
-        for cut, size in zip(cuts[length > FANOUT].tolist(), length[length > FANOUT].tolist()):
-            x, y = connect(rows["at"][cut : cut + size].copy(), rows["n"][cut : cut + size].copy(), percent)
-            a.append(own[np.array(x, np.int64) + cut])
-            b.append(own[np.array(y, np.int64) + cut])
-        root = labels(len(node), np.concatenate(a), np.concatenate(b))
-        at = np.flatnonzero(root != np.arange(len(node)))
-        return pa.table({"u": node[at], "v": node[root[at]]})
+        u, v = [], []
+        for k in _classes(t):
+            rows, at = _gather(t, keys_kind(k), _KEY), _gather(t, points_kind(k), _point(k))
+            if not len(rows):
+                continue
+            node, first = np.unique(at["node"], return_index=True)
+            n, points = at["n"][first], at["at"][first]
+            own = np.searchsorted(node, rows["node"])[np.argsort(rows["key"], kind="stable")]
+            key = np.sort(rows["key"])
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            length = np.diff(np.r_[cuts, len(key)])
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for size in np.unique(length[length <= FANOUT]):  # a single leaf: all its pairs
+                i, j = np.triu_indices(int(size), 1)
+                own_cuts = cuts[length == size]
+                for part in np.array_split(own_cuts, len(own_cuts) * len(i) // 1_000_000 + 1):
+                    x, y = own[(part[:, None] + i).ravel()], own[(part[:, None] + j).ravel()]
+                    fits = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+                    a.append(x[fits])
+                    b.append(y[fits])
+            pairs = np.unique(np.concatenate(a) * len(node) + np.concatenate(b))  # a pair shares many keys
+            a, b = [], []
+            for part in np.array_split(pairs, len(pairs) * groups_of(k) // 4_000_000 + 1):
+                x, y = part // len(node), part % len(node)
+                good = may_link(np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64), n[x] + n[y], percent)
+                a.append(x[good])
+                b.append(y[good])
+            for cut, size in zip(cuts[length > FANOUT].tolist(), length[length > FANOUT].tolist()):
+                mine = own[cut : cut + size]
+                x, y = connect(points[mine], n[mine], percent)
+                a.append(mine[np.array(x, np.int64)])
+                b.append(mine[np.array(y, np.int64)])
+            root = labels(len(node), np.concatenate(a), np.concatenate(b))
+            at = np.flatnonzero(root != np.arange(len(node)))
+            u.append(node[at])
+            v.append(node[root[at]])
+        return pa.table({"u": np.concatenate([np.zeros(0, np.int64), *u]), "v": np.concatenate([np.zeros(0, np.int64), *v])})
 
     df = docs.select("text").mapInArrow(emit, _BLOB_DDL)
     for step in (shared_keys, with_points):
@@ -292,9 +338,11 @@ def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, width: int, per
         u, v = [], []
         for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
             rows = [x for x in order[i:j].tolist() if len(got[x]) and node_of(got[x]) == node[x]]
-            points, sizes = np.array([point(got[x]) for x in rows]), np.array([len(got[x]) for x in rows], np.int64)
             if len(rows) < 2:
                 continue
+            sizes = np.array([len(got[x]) for x in rows], np.int64)
+            groups = groups_of(class_of(int(sizes.max())))
+            points = np.array([point(got[x], groups) for x in rows])
             tree, fresh = CountTree(points, sizes, percent), np.ones(len(rows), bool)
             for first in range(len(rows)):
                 stack = [first] if fresh[first] else []
