@@ -328,7 +328,7 @@ def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, width: int, per
     ids = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     dealt = written(tiles.join(ids, "node"))
     packs = parts(dealt, 2 * CHUNK)
-    with_text = docs.select("doc_id", "text").join(dealt, "doc_id").select("tile", "node", "text", F.pmod("tile", F.lit(packs)).alias("pack"))
+    with_text = docs.select("doc_id", "text").join(dealt.hint("merge"), "doc_id").select("tile", "node", "text", F.pmod("tile", F.lit(packs)).alias("pack"))
 
     def verify(t: pa.Table) -> pa.Table:
         tile, node = t["tile"].to_numpy(), t["node"].to_numpy()
