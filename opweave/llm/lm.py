@@ -34,7 +34,7 @@ SEGMENT_DOCS = 2000
 END = np.uint64(0x1D8AF5C1E07B6A93)
 #: Lower ends of the bins of c(h), and the backoff weights to choose from.
 BINS = np.array([1, 2, 4, 16, 256, 4096, 65_536])
-GRID = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.96, 0.99, 1.0])
+GRID = np.array([0.02, 0.1, 0.3, 0.5, 0.65, 0.8, 0.95, 1.0])
 _CELLS = len(BINS) * len(GRID)
 
 
@@ -103,6 +103,28 @@ def _distinct(h: np.ndarray, train: np.ndarray, buckets: int):
     return u[order], count[order], np.searchsorted(home[order], np.arange(buckets + 1)), place[back]
 
 
+def _narrow(h: np.ndarray) -> bytes:
+    """Seven bytes of each hash; the bucket they go to holds more of it."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def _wide(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(b, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
+def _short(n: np.ndarray) -> bytes:
+    """Counts, most of them small: a byte each, and those of 255 and more again in full after all bytes."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype(np.int64).tobytes()
+
+
+def _long(b: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(b, np.uint8, size).astype(np.int64)
+    out[out == 255] = np.frombuffer(b, np.int64, offset=size)
+    return out
+
+
 _SENT = "bucket long, seg long, kind int, hashes binary, counts binary"
 
 
@@ -115,10 +137,10 @@ def corpus_counts(docs: DataFrame, buckets: int) -> tuple[int, int]:
             train = np.asarray(batch["train"].to_numpy(zero_copy_only=False), bool)
             u, n, cuts, _ = _distinct(h[train[doc]], np.ones(int(train[doc].sum()), bool), buckets)
             full = np.flatnonzero(np.diff(cuts))
-            yield pa.record_batch([pa.array(full), pa.array([u[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), pa.array([int(n[cuts[b] : cuts[b + 1]].sum()) for b in full], pa.int64())], names=["bucket", "hashes", "n"])
+            yield pa.record_batch([pa.array(full), pa.array([_narrow(u[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()), pa.array([int(n[cuts[b] : cuts[b + 1]].sum()) for b in full], pa.int64())], names=["bucket", "hashes", "n"])
 
     def distinct(t: pa.Table) -> pa.Table:
-        u = np.unique(np.frombuffer(b"".join(t["hashes"].to_pylist()), np.uint64))
+        u = np.unique(_wide(b"".join(t["hashes"].to_pylist())))
         return pa.table({"n": [sum(t["n"].to_pylist())], "v": [len(u)]})
 
     r = docs.select("text", "train").mapInArrow(words, "bucket long, hashes binary, n long").groupBy("bucket").applyInArrow(distinct, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
@@ -140,15 +162,14 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
         rows: list[tuple] = []
         for kind, x in ((0, h), (1, two)):
             u, n, cuts, _ = _distinct(x, train, buckets)
-            n = n.astype(np.uint32)
-            rows += [(b, kind, u[i:j].tobytes(), n[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if j > i]
+            rows += [(b, kind, _narrow(u[i:j]), _short(n[i:j])) for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if j > i]
         b, k, x, n = zip(*rows)
         return pa.table([pa.array(b, pa.int64()), pa.array([t["seg"][0].as_py()] * len(b), pa.int64()), pa.array(k, pa.int32()), pa.array(x, pa.binary()), pa.array(n, pa.binary())], ["bucket", "seg", "kind", "hashes", "counts"])
 
     def total(t: pa.Table) -> pa.Table:
         segs, kinds = t["seg"].to_pylist(), t["kind"].to_pylist()
-        own = [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()]
-        counts = [np.frombuffer(x, np.uint32) for x in t["counts"].to_pylist()]
+        own = [_wide(x) for x in t["hashes"].to_pylist()]
+        counts = [_long(x, len(u)) for x, u in zip(t["counts"].to_pylist(), own)]
         sums: list = [b""] * len(own)
         for kind in (0, 1):
             at = [i for i, k in enumerate(kinds) if k == kind]
@@ -158,7 +179,7 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
             n = np.bincount(back, np.concatenate([counts[i] for i in at]).astype(np.float64)).astype(np.int64)[back]
             cuts = np.cumsum([0, *(len(own[i]) for i in at)])
             for i, a, b in zip(at, cuts[:-1], cuts[1:]):
-                sums[i] = n[a:b].tobytes()
+                sums[i] = _short(n[a:b])
         return pa.table({"seg": pa.array(segs, pa.int64()), "bucket": t["bucket"], "kind": pa.array(kinds, pa.int32()), "counts": pa.array(sums, pa.binary())})
 
     def score(t: pa.Table, back: pa.Table) -> pa.Table:
@@ -172,8 +193,8 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
         got = {(k, b): x for k, b, x in zip(back["kind"].to_pylist(), back["bucket"].to_pylist(), back["counts"].to_pylist())}
         count = []
         for kind, x in ((0, h), (1, two)):
-            _, _, _, at = _distinct(x, train, buckets)
-            count.append(np.frombuffer(b"".join(got.get((kind, b), b"") for b in range(buckets)), np.int64)[at])
+            _, _, cuts, at = _distinct(x, train, buckets)
+            count.append(np.concatenate([_long(got[kind, b], j - i) for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if j > i])[at])
         c_w, c_hw = count
         first = np.r_[True, doc[1:] != doc[:-1]]
         ends = c_w[np.flatnonzero(h == END)[:1]]
