@@ -25,7 +25,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = written(jaccard.jaccard_components(docs, 5, 80))
     kept = groups.where("doc_id is null or doc_id = component_id").select("doc_id")
     ids = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    out = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
+    out = docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if ids.where("n > 1").head(1):  # repeated doc_ids: one row each
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
