@@ -164,6 +164,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     k = min(MOST_RANGES, max(1, docs.count() // RANGE_ROWS))
     cuts = sorted(set(docs.where("doc_id is not null").stat.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.2 / k))) if k > 1 else []
+    cuts = [-1e300, *cuts]  # one at least
     split = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="id", outputCol="own")
     low = F.lit(-(2**63)).cast("double")  # a null doc_id is the least
     own = lambda df: split.transform(df.withColumn("id", F.coalesce(F.col("doc_id").cast("double"), low))).withColumn("own", F.col("own").cast("int")).drop("id")
