@@ -25,7 +25,7 @@ DIM, GRAMS, ROUNDS, RATE, DECAY = 4096, (3, 4, 5), 200, 4.0, 0.0003
 #: The labelled table: host labels, 1 for those to block; each is met in every frame of FRAMES.
 LABELLED = {
     1: "spam-farm cheap-pills casino-win free-bets adult-x ads-track online-casino best-pills bet-bonus sports-bets xxx-adult adult-cams click-ads ad-tracker link-farm spam-mail win-prize free-money cheap-meds slots-win poker-bonus hot-dates payday-loans lucky-jackpot track-clicks popup-ads seo-spam pills-shop viagra-store bets-live",
-    0: "library weather school history museum garden kitchen science theatre forest railway harbour teacher mountain news recipes painting music travel health city-council open-data the-other north-line winter-sport book-club river-side farmers-market tracks-and-fields adults-learning thinking nation herald thesis intern theory reader station another there stable portable notable motion action option section relation mention attention edition the-times mother brother leather gather together ring thing string spring evening morning hand land island sand band urban human woman german area idea sea tea year near hearing healing shore rest north thread threshold honest tent event one phone bone onion thorn born the-rent parent current other-side sheet with-you what-now where-to shelter lyric early daily family tides titles still outer county council",
+    0: "library weather school history museum garden kitchen science theatre forest railway harbour teacher mountain news recipes painting music travel health city-council open-data the-other north-line winter-sport book-club river-side farmers-market tracks-and-fields adults-learning thinking nation herald thesis intern theory reader station another there stable portable notable motion action option section relation mention attention edition the-times mother brother leather gather together ring thing string spring evening morning hand land island sand band urban human woman german area idea sea tea year near hearing healing shore rest north thread threshold honest tent event one phone bone onion thorn born the-rent parent current other-side sheet with-you what-now where-to shelter lyric early daily family tides titles still outer county council town-hall public-library art-gallery film-club music-school home-garden bike-repair road-atlas fire-service post-office new-town old-bridge sea-view hill-farm cook-book tea-house wood-work land-trust night-sky blue-heron school-board",
 }
 FRAMES = ("{}.example.com/en/12", "www.{}.example.net/de/7", "{}.example.org/fr/345.html", "blog.{}.example.com/es/9/", "m.{}.example.com/de/31")
 
