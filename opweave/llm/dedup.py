@@ -95,8 +95,8 @@ class InducedSorter:
         for k in range(7):  # the substring's first letters, 9 bits each
             p = np.minimum(at + k, n - 1)
             word = (word << np.uint64(9)) | np.where(k < long, t[p], 0).astype(np.uint64)
-        # longer substrings are told apart by more words
         names = np.unique(word, return_inverse=True)[1].astype(np.int64)
+        # longer substrings are told apart by more words
         covered, most = 7, min(self.depth, int(long.max(initial=0)))
         while covered < most:
             word = np.zeros(len(at), np.uint64)
@@ -136,7 +136,7 @@ class InducedSorter:
     def order(self) -> np.ndarray:
         alphabet = int(self.text.max(initial=0)) + 1
         lms = self._sorted_lms()
-        heads = np.searchsorted(self.text[lms], np.arange(alphabet + 1)) if (np.diff(self.text[lms].astype(int)) >= 0).all() else None
+        heads = np.searchsorted(self.text[lms], np.arange(alphabet + 1))  # sorted suffixes have sorted first letters
         queues, large = BucketQueues(alphabet, self.ram), []
         for c in range(alphabet):
             got, now = [], queues.pop(c)
@@ -400,13 +400,11 @@ def removals(docs: DataFrame, length: int = LENGTH, ram: int = RAM, keep_text: b
         at = np.repeat(s.starts[runs] - np.cumsum(n) + n, n) + np.arange(n.sum())
         hit = at[least[idx] < np.repeat(s.ids[s.doc[runs]], n)]
         cover = np.zeros(len(s.data) + 1, np.int32)
-        base = int(s.offsets[0])
         np.add.at(cover, hit, 1)
         np.add.at(cover, hit + length, -1)
         gone = np.cumsum(cover[:-1]) > 0
         cols: list[list] = [[] for _ in out_names]
         cut = s.offsets.tolist()
-        del base
         for d, i in enumerate(t["doc_id"].to_pylist()):
             a, b = cut[d], cut[d + 1]
             g = gone[a:b] if not (copies[d] and b - a >= length) else np.ones(b - a, bool)

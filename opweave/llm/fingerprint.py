@@ -102,7 +102,7 @@ class PrefixHash:
 
     def equal(self, i: int, j: int, length: int, other: PrefixHash | None = None) -> bool:
         other = other or self
-        return max(i, 0) + length <= self.n and j + length <= other.n and self.span(i, i + length) == other.span(j, j + length)
+        return i + length <= self.n and j + length <= other.n and self.span(i, i + length) == other.span(j, j + length)
 
     def extension(self, i: int, j: int, other: PrefixHash | None = None) -> int:
         """Length of the longest common extension of self[i:] and other[j:], by binary search."""
