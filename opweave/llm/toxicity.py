@@ -91,18 +91,20 @@ def decode(token: str, model: CharModel) -> str:
 def restored(text: str, model: CharModel, cache: dict) -> set[str]:
     """Distinct lower-case words of a text, disguises undone; runs of single letters are one word."""
     tokens = text.lower().split()
-    out, single = set(tokens), []
+    out, single = set(tokens), set()
     if len(out) and any(len(t) == 1 for t in out):
         stripped = [t.strip(_EDGE) or t for t in tokens]
-        single = ["".join(run) for ok, run in groupby(stripped, lambda t: len(t) == 1) if ok]
-        single = [s for s in single if len(s) >= 3]
+        runs = ("".join(run) for ok, run in groupby(stripped, lambda t: len(t) == 1) if ok)
+        single = {" " + s for s in runs if len(s) >= 3}  # marked by a blank, which no token holds
     words = set()
     for t in (*out, *single):
         w = cache.get(t)
         if w is None:
             w = t.strip(_EDGE)
-            if _NOISY.search(t) or t in single:
-                w = decode(t.strip(",.;:?\"'()[]{}") if _NOISY.search(t) else t, model).strip(_EDGE)
+            if _NOISY.search(t):
+                w = decode(t.strip(" ,.;:?\"'()[]{}"), model).strip(_EDGE)
+            elif t[0] == " ":
+                w = decode(t[1:], model).strip(_EDGE)
             if len(cache) > 300_000:
                 cache.clear()
             cache[t] = w
@@ -194,8 +196,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     return Scorer(weights, model, logistic(x[order], y[order]) if len(y) and 0 < y.mean() < 1 else np.array([4.0 if len(y) and y.mean() == 1 else -4.0, 0, 0, 0]))
 
 
-def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """(every column of docs, toxic_score)."""
+def scored(docs: DataFrame, scorer: Scorer, name: str = "toxic_score") -> DataFrame:
+    """Every column of docs, and the score under a name that docs doesn't have."""
     names = docs.columns
     at = names.index("text")
     kept = scorer.weights, scorer.model, scorer.beta
@@ -203,11 +205,11 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     def score(batches):
         own = Scorer(*kept)
         for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array([own(t or "") for t in batch.column(at).to_pylist()], pa.float64())], names=[*names, "toxic_score"])
+            yield pa.record_batch([*batch.columns, pa.array([own(t or "") for t in batch.column(at).to_pylist()], pa.float64())], names=[*names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())]))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op4(spark, sf_dir):
