@@ -39,7 +39,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT, _NOT_DIGIT = re.compile("[0-9]"), re.compile("[^0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+#: Tried at the first character of a token only, and without going back: linear in the longest of texts.
+_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 
 
 def luhn(digits: str) -> bool:
@@ -67,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", at + 1 if not m else free)
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if 12 <= m.end() - m.start() <= 40 and 12 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
