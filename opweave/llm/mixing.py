@@ -7,7 +7,8 @@ with the probability min(1, share * target tokens / tokens) of its cell, decided
 
 Edge cases: a target without documents is left out and the others are scaled up; a null source or
 language falls into ``other``; a document without words (null, empty) has no tokens, weight 0 and
-probability 0; equal doc_ids get equal decisions; an empty table gives no rows.
+probability 0; equal doc_ids get equal decisions; an empty table gives no rows; columns of docs that have a
+result's name are replaced by it.
 """
 
 from __future__ import annotations
@@ -55,16 +56,16 @@ def rake(cells: dict[tuple, float], targets: list[dict], rounds: int = ROUNDS) -
 def calibrated(docs: DataFrame, sources=SOURCES, langs=LANGS, topics=TOPICS, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
     """The rows of docs with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight (of a token, 1 on average), mix_prob and mix_kept."""
     cell = ["mix_source", "mix_lang", "mix_topic"]
-    df = docs.withColumns({"mix_tokens": n_tokens(), "mix_source": _named("source", sources), "mix_lang": _named("lang", langs)}).withColumn("mix_topic", topic(tokens="mix_tokens"))
+    df = docs.drop("mix_tokens", *cell, "mix_weight", "mix_prob", "mix_kept", "mix_w").withColumns({"mix_tokens": n_tokens(), "mix_source": _named("source", sources), "mix_lang": _named("lang", langs)}).withColumn("mix_topic", topic(tokens="mix_tokens"))
     held = {tuple(r[c] for c in cell): r["n"] for r in df.groupBy(*cell).agg(F.sum("mix_tokens").alias("n")).collect()}  # bounded by the targets
     total = float(sum(held.values()))
     weight = {c: w * total / held[c] for c, w in rake(held, [sources, langs, topics], rounds).items()}
     spark = docs.sparkSession
     values = ", ".join("('{}', '{}', '{}', {!r}D)".format(*(x.replace("'", "''") for x in c), w) for c, w in sorted(weight.items()))
-    by_cell = spark.sql(f"select * from values {values} as t(mix_source, mix_lang, mix_topic, w)" if values else "select '' mix_source, '' mix_lang, '' mix_topic, 0D w where false")
+    by_cell = spark.sql(f"select * from values {values} as t(mix_source, mix_lang, mix_topic, mix_w)" if values else "select '' mix_source, '' mix_lang, '' mix_topic, 0D mix_w where false")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    out = df.join(F.broadcast(by_cell), cell, "left").withColumn("mix_weight", F.when(F.col("mix_tokens") > 0, F.coalesce("w", F.lit(0.0))).otherwise(F.lit(0.0))).drop("w")
+    out = df.join(F.broadcast(by_cell), cell, "left").withColumn("mix_weight", F.when(F.col("mix_tokens") > 0, F.coalesce("mix_w", F.lit(0.0))).otherwise(F.lit(0.0))).drop("mix_w")
     return out.withColumn("mix_prob", F.least(F.lit(1.0), F.col("mix_weight") * share)).withColumn("mix_kept", u < F.col("mix_prob"))
 
 
