@@ -17,7 +17,10 @@ from opweave.session import table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half; labels of all folds train the scorer."""
     scorer = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, scorer).where("toxic_score < 0.5").drop("toxic_score")
+    name = "toxic_score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return toxicity.scored(docs, scorer, name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +41,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents whose tokens follow the target weights."""
-    return mixing.calibrated(docs).where("mix_kept").select(*docs.columns)
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row"))  # no column of docs can clash
+    return mixing.calibrated(rows).where("mix_kept").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
