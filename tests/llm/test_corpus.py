@@ -234,6 +234,13 @@ def test_toxicity(spark):
     none = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic").where("false"))
     assert toxicity.scored(df.where("doc_id < 3").select("doc_id", "text"), none).count() == 3
     assert toxicity.decode("a" * 300, scorer.model) is not None
+    # a word's reading depends on its own text alone, not on what was read before
+    spaced, plain_word = "h e l l o", "hello hello"
+    fresh = toxicity.restored(plain_word, scorer.model, {})
+    cache: dict = {}
+    toxicity.restored(spaced, scorer.model, cache)
+    assert toxicity.restored(plain_word, scorer.model, cache) == fresh == {"hello"}
+    assert toxicity.restored(" xx ".join(" ".join(f"{i:05d}") for i in range(20_000)), scorer.model, {})  # many runs of letters apart
 
 
 def test_pieces(docs, data, empty):
@@ -324,6 +331,12 @@ def test_pii(docs, data, empty):
     t = next(r for r in m.values() if r.text and "<EMAIL>" in r.text)
     assert t.text == "mail <EMAIL> or <PHONE>, <CARD>, <IP>" and t.n_chars == len(t.text)
     assert pii.base_spans("1" * 100_000 + "." * 1000 + "a" * 100_000) == []
+    assert pii.base_spans("0" * 5000 + "1.2.3.4") == [(0, 1, 5007)]
+    rule = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+    for _ in range(2000):
+        t = "".join(rnd.choice("a1@ .\n\u00a0") for _ in range(rnd.randint(0, 15)))
+        assert [m.span() for m in pii._TOKEN.finditer(t)] == [m.span() for m in rule.finditer(t)]
+    assert not pii.Graph(["7 " + "x" * 1_000_000]).spans[1:]  # one long token without a digit
 
 
 def test_skip_chain_spreads_labels(spark):
@@ -408,7 +421,8 @@ def test_pipeline(spark, data, tmp_path):
     import corpus_pipeline as c
 
     d = str(tmp_path)
-    frame(spark, data).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{d}/documents.parquet")
+    clashing = {c: F.lit(0.25) for c in ("toxic_score", "w", "mix_w", "mix_kept", "mix_tokens", "row", "name")}
+    frame(spark, data).withColumns(clashing).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i == 3)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     docs = spark.read.parquet(f"{d}/documents.parquet")
     columns = docs.columns
@@ -419,6 +433,7 @@ def test_pipeline(spark, data, tmp_path):
         docs = spark.read.parquet(f"{d}/{k}")
         if k < 4:
             assert docs.columns == columns
+            assert not docs.where(" or ".join(f"{c} <> 0.25" for c in clashing)).count()
         if k == 1:
             rows = before.select("doc_id", "text").toPandas()
             assert {r.doc_id for r in docs.collect()} == {x for _, _, x in linked(rows, 5, 80)}
