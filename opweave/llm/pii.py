@@ -5,8 +5,9 @@ tokens (white-space separated, holding a digit or an ``@``) as one of these kind
 features of the token's form, edges between neighbouring tokens, and skip edges between distant tokens of
 a document that are equal or have the same digits; loopy sum-product message passing makes labels agree
 along them. A token that the patterns leave out, but that the field gives a kind with probability
-``SURE`` or more, is added, as long as it shares its form's content with a base span of its document
-(the same core or the same digits): the patterns' own finds are never taken away.
+``SURE`` or more, is added, as long as it shares its content with a base span of its document (the same
+core, or the digits, seven or more, of the span or of a token in it, such as a phone number repeated
+without its area code): the patterns' own finds are never taken away.
 
 Learning: a bounded sample of documents (``TRAIN_DOCS``, the smallest hashes of doc_id among those with a
 digit or an ``@``), whose base spans are the labels. Only counts of forms come to the driver.
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from opweave.session import table
 
 KINDS = ("email", "ip", "card", "phone")
+#: Pairs of equal labels that are added to those counted at skip edges: what is alike is labelled alike.
+ALIKE = 2.0
 TRAIN_DOCS, SURE, ROUNDS = 2000, 0.9, 8
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -123,10 +126,9 @@ class Graph:
                 if near:
                     self.chain.append((k - 1, k))
                 c, digits = core(t), _NOT_DIGIT.sub("", t)
-                for key in {c, digits if len(digits) >= 7 else c}:
-                    if key in seen:
-                        self.skip.append((seen[key], k))
-                    seen[key] = k
+                keys = {c, digits if len(digits) >= 7 else c}
+                self.skip += [(j, k) for j in sorted({seen[key] for key in keys if key in seen})]
+                seen |= dict.fromkeys(keys, k)
                 self.spans.append((a, b))
                 self.doc.append(d)
                 self.forms.append(form(t, near))
@@ -161,11 +163,11 @@ class SkipChain:
             p[np.arange(len(y)), y] -= 1
             w -= 2.0 * (x.T @ (p * n[:, None]) / max(n.sum(), 1) + 1e-4 * w)
 
-        def agreement(c):
-            c = (c + c.T) / 2 + 0.5
+        def agreement(c, same: float = 0.0):
+            c = (c + c.T) / 2 + 0.5 + same * np.eye(labels)
             return np.log(c * c.sum() / c.sum(axis=1, keepdims=True) / c.sum(axis=0, keepdims=True)).clip(-3, 3)
 
-        return cls({f: w[i] for f, i in at.items()}, agreement(chain), agreement(skip))
+        return cls({f: w[i] for f, i in at.items()}, agreement(chain), agreement(skip, ALIKE))
 
     def unary(self, fs: tuple) -> np.ndarray:
         u = self.known.get(fs)
@@ -200,6 +202,9 @@ class SkipChain:
         if g.spans:
             p = self.marginals(g)
             contents = [({core(t[s:e]) for s, _, e in b}, {d for s, _, e in b if len(d := _NOT_DIGIT.sub("", t[s:e])) >= 7}) if b else None for t, b in zip(texts, g.base)]
+            for (a, b), d, own in zip(g.spans, g.doc, g.label):
+                if own and len(x := _NOT_DIGIT.sub("", texts[d][a:b])) >= 7:
+                    contents[d][1].add(x)
             for (a, b), d, own, q in zip(g.spans, g.doc, g.label, p):
                 kind = int(q.argmax())
                 if own or not kind or q[kind] < SURE or contents[d] is None:

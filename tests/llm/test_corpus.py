@@ -350,6 +350,16 @@ def test_skip_chain_spreads_labels(spark):
     assert p[:, 1].min() > 0.9
 
 
+def test_skip_chain_adds_spans(spark):
+    texts = [f"call +1 ({200 + i}) 555-{1000 + i} now, item {i} of 12 costs {i}99 or {1_000_000 + 37 * i}" + (f" so +1 ({200 + i}) 555-{1000 + i}" if i % 10 == 0 else "") for i in range(200)]
+    field = pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    t = "call +1 (262) 555-3752 now, later 555-3752 again, not 555-3753 or 1000037"
+    base, every = field.added([t, "later 555-3752 again", "1000037 and 1000037"])
+    assert [t[s:e] for s, _, e in base[0]] == ["+1 (262) 555-3752"]
+    assert [(t[s:e], pii.KINDS[k]) for s, k, e in every[0]] == [("+1 (262) 555-3752", "phone"), ("555-3752", "phone")]
+    assert not every[1] and not every[2]
+
+
 def test_dedup(docs, data, empty):
     first = {}
     for i, t in zip(data.doc_id, data.text):
