@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -9,11 +11,24 @@ from pyspark.sql import functions as F
 from opweave.expr import Field, Operator, compose
 from opweave.operators.sparse import MatrixOperator
 
-#: Orthogonal wavelets' scaling filters.
-FILTERS = {
-    "haar": np.array([1, 1]) / np.sqrt(2),
-    "db2": np.array([1 + np.sqrt(3), 3 + np.sqrt(3), 3 - np.sqrt(3), 1 - np.sqrt(3)]) / (4 * np.sqrt(2)),
-}
+
+def scaling_filter(wavelet: str) -> np.ndarray:
+    """Scaling filter of ``haar`` or ``dbN``, N from 1 to 20 vanishing moments.
+
+    By spectral factorisation: the half-band polynomial's roots inside the unit circle, and N roots at -1.
+    """
+    order = wavelet.removeprefix("db")
+    n = 1 if wavelet == "haar" else int(order) if order != wavelet and order.isdecimal() else 0
+    if not 1 <= n <= 20:
+        raise ValueError("wavelets are haar and db1 to db20")
+    y = np.roots([comb(n - 1 + k, k) for k in reversed(range(n))])
+    half = 1 - 2 * y
+    z = half + np.sqrt(half * half - 1 + 0j)
+    z = np.where(np.abs(z) > 1, 1 / z, z)
+    h = np.poly(np.r_[z, -np.ones(n)]).real
+    return h * np.sqrt(2) / h.sum()
+
+
 #: Taps beyond which a field's convolution is done by FFT for each vector instead of as a stencil.
 MOST_TAPS = 64
 
@@ -142,14 +157,104 @@ class InverseFFT(FFTOperator):
         return compose(HomothetyOperator(1 / self.shapein), FFTOperator(self.shapein))
 
 
+class ConvolutionNdOperator(MatrixOperator):
+    """Circular, of arrays of one shape, held as vectors of their elements in C order; the kernel has as many
+    axes, none longer than the array's, and its origin is the index (k - 1) // 2 on each."""
+
+    def __init__(self, kernel, shape: tuple[int, ...]):
+        kernel = np.asarray(kernel)
+        if kernel.ndim != len(shape) or any(k > n for k, n in zip(kernel.shape, shape)):
+            raise ValueError("the kernel has the array's axes, none of them longer")
+        n = int(np.prod(shape))
+        super().__init__(n, n, not np.iscomplexobj(kernel), square=True, name="ConvolutionNd")
+        self.kernel, self.array_shape = kernel, tuple(shape)
+
+    def moves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets on each axis and weights of the kernel's elements that aren't zero."""
+        at = np.argwhere(self.kernel != 0)
+        return at - [(k - 1) // 2 for k in self.kernel.shape], self.kernel[tuple(at.T)]
+
+    def response(self) -> np.ndarray:
+        offsets, weights = self.moves()
+        out = np.zeros(self.array_shape, np.result_type(self.kernel, float))
+        np.add.at(out, tuple((offsets % self.array_shape).T), weights)
+        return out
+
+    def entries(self):
+        offsets, weights = self.moves()
+        j = np.arange(self.shapein)
+        to = (np.array(np.unravel_index(j, self.array_shape)).T[:, None] + offsets) % self.array_shape
+        i = np.ravel_multi_index(tuple(np.moveaxis(to, -1, 0)), self.array_shape)
+        return i.ravel(), np.repeat(j, len(weights)), np.tile(weights, len(j))
+
+    def on_array(self, x):
+        x = np.asarray(x)
+        axes = tuple(range(-len(self.array_shape), 0))
+        y = np.fft.fftn(x.reshape(*x.shape[:-1], *self.array_shape), axes=axes) * np.fft.fftn(self.response())
+        y = np.fft.ifftn(y, axes=axes).reshape(x.shape)
+        return y.real if self.real and not np.iscomplexobj(x) else y
+
+    def on_field(self, f):
+        offsets, weights = self.moves()
+        if len(weights) > MOST_TAPS and f.keys:
+            return per_vector(f, self.shapein, self.on_array)
+        rank = range(len(self.array_shape))
+        names = [f"o{k}" for k in rank]
+        moves = F.array(*[F.struct(*[F.lit(int(v)).alias(c) for c, v in zip(names, o)], F.lit(float(w)).alias("w")) for o, w in zip(offsets, weights)])
+        x = f.df.select(*f.keys, "i", "v", F.explode(moves).alias("m"))
+        i, below = F.lit(0).cast("long"), self.shapein
+        for k, n in enumerate(self.array_shape):
+            below //= n
+            i = i + F.pmod(F.floor(F.col("i") / F.lit(below)) + F.col(f"m.o{k}"), F.lit(n)) * F.lit(below)
+        out = x.groupBy(*f.keys, i.cast("long").alias("i")).agg(F.sum(F.col("v") * F.col("m.w")).alias("v"))
+        return Field(out, self.shapein, f.keys, f.dense)
+
+    def conjugate_(self):
+        return self if self.real else ConvolutionNdOperator(self.kernel.conj(), self.array_shape)
+
+    def transpose_(self):
+        back = np.roll(np.flip(self.response()), tuple((n + 1) // 2 for n in self.array_shape), tuple(range(len(self.array_shape))))
+        return ConvolutionNdOperator(back, self.array_shape)
+
+
+class FFTNdOperator(Operator):
+    """The forward transform, not normalised, of arrays of one shape, held as vectors in C order; ``H`` is the
+    backward one, so that H(forward(x)) = n x."""
+
+    def __init__(self, shape: tuple[int, ...], backward: bool = False):
+        n = int(np.prod(shape))
+        super().__init__(shapein=n, shapeout=n, linear=True, square=True, real=False, name="FFTNd.H" if backward else "FFTNd")
+        self.array_shape, self.backward = tuple(shape), backward
+
+    def on_array(self, x):
+        x = np.asarray(x)
+        y, axes = x.reshape(*x.shape[:-1], *self.array_shape), tuple(range(-len(self.array_shape), 0))
+        return (np.fft.ifftn(y, axes=axes) * self.shapein if self.backward else np.fft.fftn(y, axes=axes)).reshape(x.shape)
+
+    def conjugate_(self):
+        return FFTNdOperator(self.array_shape, not self.backward)
+
+    def transpose_(self):
+        return self
+
+    @property
+    def H(self):
+        return self.conjugate_()
+
+    def inverse_(self):
+        from opweave.operators.diagonal import HomothetyOperator
+
+        return compose(HomothetyOperator(1 / self.shapein), self.conjugate_())
+
+
 class WaveletOperator(MatrixOperator):
     """Periodic multilevel transform: coefficients [approximation, coarsest detail, ..., finest detail]; orthogonal."""
 
     def __init__(self, wavelet: str, n: int, level: int = 1):
-        if wavelet not in FILTERS or n % (1 << level):
-            raise ValueError(f"wavelets are {', '.join(FILTERS)}; the length must be a multiple of 2**level")
+        low = scaling_filter(wavelet)
+        if n % (1 << level):
+            raise ValueError("the length must be a multiple of 2**level")
         super().__init__(n, n, orthogonal=True, name=f"Wavelet[{wavelet}]")
-        low = FILTERS[wavelet]
         high = low[::-1] * (-1.0) ** np.arange(len(low))
         w, size = np.eye(n), n
         for _ in range(level):
@@ -166,15 +271,27 @@ class WaveletOperator(MatrixOperator):
 
 
 class Wavelet2dOperator(Operator):
-    """The transform along both axes of an array whose last two are m and n."""
+    """The transform along both axes: of an array's last two, or of a field whose index is row * columns + column."""
 
     def __init__(self, wavelet: str, shape: tuple[int, int], level: int = 1):
         super().__init__(linear=True, orthogonal=True, name=f"Wavelet2d[{wavelet}]")
-        self.rows, self.cols = WaveletOperator(wavelet, shape[0], level), WaveletOperator(wavelet, shape[1], level)
+        self.wavelet, self.level = wavelet, level
+        self.array_shape, self.rows, self.cols = shape, WaveletOperator(wavelet, shape[0], level), WaveletOperator(wavelet, shape[1], level)
 
     def on_array(self, x):
         y = self.cols.on_array(x)
         return np.swapaxes(self.rows.on_array(np.swapaxes(y, -1, -2)), -1, -2)
 
+    def on_field(self, f):
+        m, n = self.array_shape
+        row = F.floor(F.col("i") / F.lit(n)).cast("long")
+        x = f.df.select(*f.keys, row.alias("_row"), F.pmod("i", F.lit(n)).cast("long").alias("i"), "v")
+        y = self.cols.on_field(Field(x, n, (*f.keys, "_row"), f.dense)).df
+        y = y.select(*f.keys, F.col("i").alias("_col"), F.col("_row").alias("i"), "v")
+        z = self.rows.on_field(Field(y, m, (*f.keys, "_col"), f.dense)).df
+        return Field(z.select(*f.keys, (F.col("i") * n + F.col("_col")).alias("i"), "v"), m * n, f.keys, dense=False)
+
     def transpose_(self):
-        return Operator(lambda c: np.swapaxes(self.rows.T.on_array(np.swapaxes(self.cols.T.on_array(c), -1, -2)), -1, -2), transpose=self.on_array, linear=True, name=f"{self.name}.T")
+        out = Wavelet2dOperator(self.wavelet, self.array_shape, self.level)
+        out.rows, out.cols, out.name = self.rows.T, self.cols.T, f"{self.name}.T"
+        return out

@@ -17,7 +17,7 @@ from opweave.operators.diagonal import ByColumnOperator, DiagonalOperator, Homot
 from opweave.operators.elementwise import ClipOperator, DegreesOperator, HardThresholdingOperator, MaximumOperator, MinimumOperator, NormalizeOperator, NumexprOperator, PowerOperator, RadiansOperator, ReciprocalOperator, RoundOperator, SoftThresholdingOperator, SqrtOperator, To1dOperator, ToNdOperator, UfuncOperator
 from opweave.operators.reduce import MaxOperator, MinMaxOperator, MinOperator, ProductOperator, ReductionOperator
 from opweave.operators.sparse import DifferenceOperator, SparseOperator, StencilOperator, SumOperator, TridiagonalOperator, trapeze
-from opweave.operators.transform import ConvolutionOperator, FFTOperator, WaveletOperator
+from opweave.operators.transform import ConvolutionNdOperator, ConvolutionOperator, FFTOperator, Wavelet2dOperator, WaveletOperator
 from opweave.plans import field, rows
 from opweave.session import table
 from opweave.solvers.cg import LanczosAlgorithm, pcg
@@ -310,6 +310,23 @@ def fft_rows(s, d):
     return y.df.select("vec_id", "i", F.round("v", 5).alias("re"), F.round("im", 5).alias("im"))
 
 
+@query("wavelet_2d", """select vec_id, (8*(4*a.a+p.p)+4*b.b+q.q)::bigint i, round((e.embedding[16*p.p+2*q.q+1]::double + (1-2*b.b)*e.embedding[16*p.p+2*q.q+2]::double
+    + (1-2*a.a)*(e.embedding[16*p.p+2*q.q+9]::double + (1-2*b.b)*e.embedding[16*p.p+2*q.q+10]::double))/2,6)+0.0::double y
+    from embeddings e, (values (0),(1)) a(a), (values (0),(1)) b(b), generate_series(0,3) p(p), generate_series(0,3) q(q)""")
+def wavelet_2d(s, d):
+    """Embeddings as arrays of 8 by 8."""
+    y = Wavelet2dOperator("haar", (8, 8))(rows(table(s, d, "embeddings"), "embedding", "vec_id", 64))
+    return y.df.select("vec_id", "i", (F.round("v", 6) + 0.0).alias("y"))
+
+
+@query("convolution_2d", """with k(o0,o1,w) as (values (-1,0,1.0::double),(0,0,2.0::double),(0,1,-1.0::double),(1,1,0.5::double))
+    select vec_id, (8*((g.j//8+k.o0+8)%8)+(g.j%8+k.o1+8)%8)::bigint i, round(sum(k.w*e.embedding[g.j+1]::double),5)+0.0::double y from embeddings e, generate_series(0,63) g(j), k group by 1,2""")
+def convolution_2d(s, d):
+    """Embeddings as arrays of 8 by 8."""
+    op = ConvolutionNdOperator([[0, 1, 0], [0, 2, -1], [0, 0, 0.5]], (8, 8))
+    return op(rows(table(s, d, "embeddings"), "embedding", "vec_id", 64)).df.select("vec_id", "i", (F.round("v", 5) + 0.0).alias("y"))
+
+
 @query("pcg")
 def pcg_nation(s, d):
     """Solves (graph Laplacian of suppliers sharing a nation + I) x = balances, on frames."""

@@ -10,7 +10,7 @@ from opweave.operators.diagonal import ConstantOperator, DiagonalOperator, Homot
 from opweave.operators.elementwise import ClipOperator, HardThresholdingOperator, NumexprOperator, PowerOperator, ReciprocalOperator, RoundOperator, SoftThresholdingOperator, SqrtOperator, SquareOperator, To1dOperator, ToNdOperator
 from opweave.operators.reduce import MinMaxOperator, MinOperator, ProductOperator
 from opweave.operators.sparse import BandOperator, DifferenceOperator, EigendecompositionOperator, IntegrationTrapezeOperator, LowerTriangularOperator, SparseOperator, SumOperator, SymmetricBandOperator, SymmetricBandToeplitzOperator, TridiagonalOperator
-from opweave.operators.transform import ConvolutionOperator, FFTOperator, WaveletOperator
+from opweave.operators.transform import ConvolutionNdOperator, ConvolutionOperator, FFTNdOperator, FFTOperator, Wavelet2dOperator, WaveletOperator, scaling_filter
 from opweave.rules import rule_manager
 from opweave.solvers.cg import LanczosAlgorithm, pcg
 from opweave.solvers.core import IterativeAlgorithm
@@ -27,6 +27,9 @@ MATRICES = [
     SymmetricBandToeplitzOperator(5, [2, 1]),
     ConvolutionOperator([1, 2, 0.5], 6),
     WaveletOperator("db2", 8, 2),
+    WaveletOperator("db4", 16),
+    ConvolutionNdOperator([[1, 2, 0.5]], (3, 4)),
+    ConvolutionNdOperator(np.arange(1.0, 13).reshape(2, 2, 3), (2, 3, 4)),
     IntegrationTrapezeOperator([0.5, 1, 2, 4]),
     SumOperator(4),
     BlockDiagonalOperator([DenseOperator(np.ones((2, 3))), IdentityOperator(2)]),
@@ -145,6 +148,59 @@ def test_coordinates_and_rotations():
     assert To1dOperator((3, 4))(np.array([2, 1])) == 9
 
 
+@pytest.mark.parametrize("n", range(1, 21))
+def test_scaling_filters(n):
+    """Orthonormal to its even shifts, and with n vanishing moments of the wavelet."""
+    h = scaling_filter(f"db{n}")
+    assert len(h) == 2 * n
+    tol = 1e-9 if n <= 10 else 1e-4
+    for k in range(n):
+        assert abs(h[2 * k :] @ h[: len(h) - 2 * k] - (k == 0)) < tol
+    if n <= 6:
+        high = h[::-1] * (-1.0) ** np.arange(2 * n)
+        assert all(abs((np.arange(2 * n, dtype=float) ** k) @ high) < 1e-4 for k in range(n))
+
+
+def test_scaling_filter_names():
+    assert np.allclose(scaling_filter("haar"), np.sqrt([0.5, 0.5]))
+    assert np.allclose(scaling_filter("db2") * 4 * np.sqrt(2), [1 + np.sqrt(3), 3 + np.sqrt(3), 3 - np.sqrt(3), 1 - np.sqrt(3)])
+    for name in ("db0", "db21", "sym4", "", "db"):
+        with pytest.raises(ValueError):
+            scaling_filter(name)
+
+
+@pytest.mark.parametrize("shape", [(6,), (4, 5), (2, 3, 4)])
+def test_transforms_of_arrays(shape):
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(2, *shape))
+    f, n = FFTNdOperator(shape), int(np.prod(shape))
+    flat = x.reshape(2, n)
+    assert np.allclose(f(flat).reshape(x.shape), np.fft.fftn(x, axes=range(1, x.ndim)))
+    assert np.allclose(f.H(f(flat)), n * flat) and np.allclose(f.I(f(flat)), flat)
+    delta = np.zeros(shape)
+    delta[tuple(k // 2 for k in shape)] = 1
+    kernel = rnd.normal(size=[min(3, k) for k in shape])
+    got = ConvolutionNdOperator(kernel, shape)(delta.ravel()).reshape(shape)
+    want = np.zeros(shape)
+    for at in np.ndindex(kernel.shape):
+        want[tuple((k // 2 + i - (m - 1) // 2) % k for k, i, m in zip(shape, at, kernel.shape))] += kernel[at]
+    assert np.allclose(got, want)
+    z = ConvolutionNdOperator(kernel + 1j, shape)
+    assert np.allclose(z.H.todense(), z.matrix().conj().T)
+    with pytest.raises(ValueError):
+        ConvolutionNdOperator(np.ones([k + 1 for k in shape]), shape)
+
+
+def test_wavelet_2d(spark):
+    x = np.random.default_rng(3).normal(size=(4, 8))
+    w = Wavelet2dOperator("db2", (4, 8))
+    y = w(x)
+    assert np.allclose(w.T(y), x) and np.isclose((y**2).sum(), (x**2).sum())
+    f = w(to_field(spark, x.ravel()))
+    np.testing.assert_allclose(to_array(f, 32), y.ravel(), atol=1e-9)
+    np.testing.assert_allclose(to_array(w.T(f), 32), x.ravel(), atol=1e-9)
+
+
 def test_keyed_fields(spark):
     df = spark.createDataFrame([(k, i, float(k + i)) for k in range(3) for i in range(8)], "k long, i long, v double")
     f = Field(df, 8, ("k",))
