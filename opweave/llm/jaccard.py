@@ -160,8 +160,9 @@ def points_kind(k: int) -> int:
     return 2 * k + 1
 
 
-def _point(k: int) -> np.dtype:
-    return np.dtype([("node", "i8"), ("n", "i8"), ("at", "u4", (groups_of(k),))])
+def _point(k: int, percent: int) -> np.dtype:
+    """Counts travel in bytes where a group holds 24 of a set's hashed tokens on average at most: 256 are out of reach."""
+    return np.dtype([("node", "i8"), ("n", "i8"), ("at", "u1" if percent >= 50 else "u4", (groups_of(k),))])
 
 
 def _classes(t: pa.Table) -> list[int]:
@@ -245,7 +246,7 @@ def candidates(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFr
                 keys = np.empty(sum(len(r[3]) for r in rows), _KEY)
                 keys["key"], keys["node"] = np.concatenate([r[3] for r in rows]), np.repeat([r[0] for r in rows], [len(r[3]) for r in rows])
                 yield _blobs((keys["key"] % np.uint64(buckets)).astype(np.int64), keys, keys_kind(k))
-                points = np.array([r[:3] for r in rows], _point(k))
+                points = np.array([r[:3] for r in rows], _point(k, percent))
                 yield _blobs(_home(points["node"], buckets), points, points_kind(k))
 
     def shared_keys(t: pa.Table) -> pa.Table:
@@ -265,7 +266,7 @@ def candidates(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFr
     def with_points(t: pa.Table) -> pa.Table:
         out = []
         for k in _classes(t):
-            rows, at = _gather(t, keys_kind(k), _KEY), _gather(t, points_kind(k), _point(k))
+            rows, at = _gather(t, keys_kind(k), _KEY), _gather(t, points_kind(k), _point(k, percent))
             if not len(rows):
                 continue
             bucket = (rows["key"] % np.uint64(buckets)).astype(np.int64)
@@ -278,7 +279,7 @@ def candidates(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFr
     def linked(t: pa.Table) -> pa.Table:
         u, v = [], []
         for k in _classes(t):
-            rows, at = _gather(t, keys_kind(k), _KEY), _gather(t, points_kind(k), _point(k))
+            rows, at = _gather(t, keys_kind(k), _KEY), _gather(t, points_kind(k), _point(k, percent))
             if not len(rows):
                 continue
             node, first = np.unique(at["node"], return_index=True)
