@@ -40,9 +40,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents whose tokens follow the target weights."""
+    """A sample of the documents whose tokens follow the target weights, as large as the scarcest cell allows."""
     rows = docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row"))  # no column of docs can clash
-    return mixing.calibrated(rows).where("mix_kept").select("row.*")
+    return mixing.calibrated(rows, share=None).where("mix_kept").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ Documents fall into cells (source, language, topic); a value that the targets do
 |topics|. Cells' tokens are raked to the three marginals in ``rounds`` rounds, and each document is kept
 with the probability min(1, share * target tokens / tokens) of its cell, decided by a hash of its doc_id.
 
+The share of tokens to keep is given (``op9`` keeps to the 0.8 of its SQL) or, if None, derived from the
+weights: the largest, up to ``SHARE``, that takes no probability beyond 1. Only then do the expected kept tokens
+follow the weights; with a given share, cells whose weight is above 1 / share are kept whole and fall short.
+
 Edge cases: a target without documents is left out and the others are scaled up; a null source or
 language falls into ``other``; a document without words (null, empty) has no tokens, weight 0 and
 probability 0; equal doc_ids get equal decisions; an empty table gives no rows; columns of docs that have a
@@ -53,13 +57,19 @@ def rake(cells: dict[tuple, float], targets: list[dict], rounds: int = ROUNDS) -
     return w
 
 
-def calibrated(docs: DataFrame, sources=SOURCES, langs=LANGS, topics=TOPICS, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def followed(weights) -> float:
+    """The largest share, up to SHARE, that leaves share * weight at 1 or less for every weight."""
+    return min(SHARE, 1 / max(weights, default=1.0))
+
+
+def calibrated(docs: DataFrame, sources=SOURCES, langs=LANGS, topics=TOPICS, share: float | None = SHARE, rounds: int = ROUNDS) -> DataFrame:
     """The rows of docs with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight (of a token, 1 on average), mix_prob and mix_kept."""
     cell = ["mix_source", "mix_lang", "mix_topic"]
     df = docs.drop("mix_tokens", *cell, "mix_weight", "mix_prob", "mix_kept", "mix_w").withColumns({"mix_tokens": n_tokens(), "mix_source": _named("source", sources), "mix_lang": _named("lang", langs)}).withColumn("mix_topic", topic(tokens="mix_tokens"))
     held = {tuple(r[c] for c in cell): r["n"] for r in df.groupBy(*cell).agg(F.sum("mix_tokens").alias("n")).collect()}  # bounded by the targets
     total = float(sum(held.values()))
     weight = {c: w * total / held[c] for c, w in rake(held, [sources, langs, topics], rounds).items()}
+    share = followed(weight.values()) if share is None else share
     spark = docs.sparkSession
     values = ", ".join("('{}', '{}', '{}', {!r}D)".format(*(x.replace("'", "''") for x in c), w) for c, w in sorted(weight.items()))
     by_cell = spark.sql(f"select * from values {values} as t(mix_source, mix_lang, mix_topic, mix_w)" if values else "select '' mix_source, '' mix_lang, '' mix_topic, 0D mix_w where false")

@@ -407,6 +407,24 @@ def test_mixing(docs, data, empty):
     assert mixing.calibrated(empty).count() == 0
 
 
+def test_mixing_hot_source(spark):
+    """The sample meets all three marginals though one source holds most documents and some cells are scarce."""
+    import corpus_pipeline as c
+
+    rnd = random.Random(9)
+    rows = [(i, "w " * (20 if rnd.random() < 0.1 else 60), rnd.choices(["en", "de", "fr"], [6, 1, 3])[0], rnd.choices(["src0", "src1", "src2", "src3"], [70, 10, 10, 10])[0]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    aims = [{k: t[k] / sum(t[v] for v in held) for k in held} for t, held in ((mixing.SOURCES, ("src0", "src1", "src2", "src3")), (mixing.LANGS, ("en", "de", "fr")), (mixing.TOPICS, ("prose", "short")))]
+    got = mixing.calibrated(df, share=None).collect()
+    kept = {r.doc_id for r in c.mix(spark, df, "").collect()}
+    assert kept == {r.doc_id for r in got if r.mix_kept} and max(r.mix_prob for r in got) > 0.99
+    for chance, near in ((lambda r: r.mix_prob, 1e-6), (lambda r: r.doc_id in kept, 0.05)):
+        whole = sum(chance(r) * r.mix_tokens for r in got)
+        for col, aim in zip(("mix_source", "mix_lang", "mix_topic"), aims):
+            for v, x in aim.items():
+                assert abs(sum(chance(r) * r.mix_tokens for r in got if r[col] == v) / whole - x) < near
+
+
 def test_urls(spark):
     rows = ["http://www.Example.com/en/12", "http://example.com/en/7x", "https://a.example.net/de/1", "https://a.example.net/de/81?x#y", "ftp://x.org/es/", "http://com/en/", "http://notcom/en/", None, "no scheme", "://host?q", "http://u://v/en/", "http://h.com" + "/en/" + "x" * 20_000, "http://h.com/en"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*rows, rows[0]])], "page_id long, url string, host string")
