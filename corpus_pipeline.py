@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from opweave.llm import jaccard, mixing, pieces, pii, toxicity
 from opweave.llm._spark import written
+from opweave.llm.mixing import WORD
 from opweave.session import table
 
 
@@ -24,14 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group that 5-word shingles link at 0.8 or more."""
-    groups = written(jaccard.jaccard_components(docs, 5, 80))
-    kept = groups.where("doc_id is null or doc_id = component_id").select("doc_id")
-    ids = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    out = docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if ids.where("n > 1").head(1):  # repeated doc_ids: one row each
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group that 5-word shingles link at 0.8 or more: that of the smallest doc_id (a null
+    one comes last), if that is repeated, of the smallest row key. Documents without words are in no group and stay."""
+    groups = written(jaccard.linked_rows(docs, 5, 80)).where("component is not null")
+    rows = groups.groupBy("component", "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "n")).alias("x")).select("x.key", "x.n")
+    keyed = docs.select(jaccard.row_key().alias("key"), F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)).alias("worded"), F.struct("*").alias("row"))
+    out = keyed.where("worded").join(first.select("key").hint("merge"), "key", "left_semi")
+    if first.where("n > 1").head(1):  # rows equal in doc_id and text: one of them
+        out = out.dropDuplicates(["key"])
+    return out.unionByName(keyed.where("not worded")).select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opweave.llm._spark import components, parts, written
@@ -202,17 +202,23 @@ def common_tokens(docs: DataFrame, n_docs: int, width: int) -> np.ndarray:
     return rows["key"].to_numpy().view(np.uint64)[::-1].copy()
 
 
+def row_key() -> Column:
+    """64-bit name of a row's doc_id and text; only rows that are equal in both share it."""
+    named = F.col("doc_id").cast("long")
+    return F.xxhash64(named, named.isNull(), F.col("text").cast("string"))
+
+
 def doc_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, node); node is null for an empty set."""
+    """(doc_id, key, n_shingles, node); node is null for an empty set."""
 
     def sets(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             got = list(shingle_sets(batch["text"], width))
-            yield pa.record_batch([batch["doc_id"], pa.array([len(s) for s in got], pa.int64()), pa.array([node_of(s) if len(s) else None for s in got], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.record_batch([batch["doc_id"], batch["key"], pa.array([len(s) for s in got], pa.int64()), pa.array([node_of(s) if len(s) else None for s in got], pa.int64())], names=["doc_id", "key", "n_shingles", "node"])
 
-    return docs.mapInArrow(sets, "doc_id long, n_shingles long, node long")
+    return docs.withColumn("key", row_key()).mapInArrow(sets, "doc_id long, key long, n_shingles long, node long")
 
 
 def candidates(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFrame:
@@ -326,10 +332,11 @@ def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, width: int, per
     sized = found.join(found.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).alias("k")), "component")
     chunk = F.pmod(F.xxhash64("node"), F.col("k"))
     tiles = sized.withColumn("c", chunk).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("node", F.xxhash64("component", F.least("c", "x"), F.greatest("c", "x")).alias("tile"))
-    ids = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    dealt = written(tiles.join(ids, "node"))
+    keys = sets.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
+    dealt = written(tiles.join(keys, "node"))
     packs = parts(dealt, 2 * CHUNK)
-    with_text = docs.select("doc_id", "text").join(dealt.hint("merge"), "doc_id").select("tile", "node", "text", F.pmod("tile", F.lit(packs)).alias("pack"))
+    texts = docs.groupBy(row_key().alias("key")).agg(F.min("text").alias("text"))  # rows of one key hold one text
+    with_text = texts.join(dealt.hint("merge"), "key").select("tile", "node", "text", F.pmod("tile", F.lit(packs)).alias("pack"))
 
     def verify(t: pa.Table) -> pa.Table:
         tile, node = t["tile"].to_numpy(), t["node"].to_numpy()
@@ -367,13 +374,18 @@ def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, width: int, per
     return with_text.groupBy("pack").applyInArrow(verify, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: sets link when 100 * overlap >= percent * union."""
+def linked_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, key, n_shingles, component) of every row; component is null for a row without words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = written(doc_sets(docs, width))
     found = written(components(candidates(docs, sets.count(), width, percent)))
     linked = components(verified(docs, sets, found, width, percent))
-    named = sets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    return sets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: sets link when 100 * overlap >= percent * union."""
+    named = linked_rows(docs, width, percent)
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 

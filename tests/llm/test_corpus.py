@@ -110,6 +110,30 @@ def test_jaccard_tiles(docs, data, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_components(docs, 4, 85).collect())) == linked(data, 4, 85)
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    """Near copies whose doc_id is null or repeated link, and the pipeline keeps one row of each group."""
+    import corpus_pipeline as c
+
+    rnd = random.Random(6)
+    a, alone, other = ([f"{x}{rnd.randint(0, 999)}" for _ in range(100)] for x in "abc")
+    edit = lambda w, n: " ".join(w[:-n] + [f"z{i}" for i in range(n)])
+    # 100 words, 96 shingles: texts link when they differ in the last 10, not when in the last 20
+    chain = [" ".join(a), edit(a, 8), " ".join(a[:-8] + [f"z{i}" for i in range(8)] + [f"y{i}" for i in range(12)])]
+    rows = [(7, chain[0]), (None, chain[1]), (5, chain[2])]
+    rows += [(None, " ".join(alone)), (None, " ".join(alone)), (None, edit(alone, 5))]
+    rows += [(9, " ".join(other)), (9, edit(other, 5)), (9, "quite another text"), (None, ""), (None, None), (9, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(df, 5, 80).collect()
+    sets = [shingles(t, 5) for t in chain]
+    share = lambda x, y: len(x & y) / len(x | y)
+    assert share(sets[0], sets[1]) >= 0.8 and share(sets[1], sets[2]) >= 0.8 > share(sets[0], sets[2])
+    want = [(i, len(shingles(t, 5)), 5 if k < 3 else i) for k, (i, t) in enumerate(rows)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    kept = [tuple(r) for r in c.drop_near_copies(spark, df, "").collect()]
+    assert len(kept) == 7 and {rows[2], rows[8], *rows[9:]} <= set(kept)
+    assert sum(r in rows[:3] for r in kept) == sum(r in rows[3:6] for r in kept) == sum(r in rows[6:8] for r in kept) == 1
+
+
 def test_count_tree():
     rnd = np.random.default_rng(1)
     points = rnd.poisson(3, (500, 64)).astype(np.uint32)
