@@ -92,10 +92,10 @@ def pcg_field(A: Operator, b: Field, tol: float = 1e-5, maxiter: int = 300, M=No
 
 
 class LanczosAlgorithm(IterativeAlgorithm):
-    """Three-term recursion without re-orthogonalisation; ends in an eigendecomposition on the Krylov space."""
+    """Three-term recursion, re-orthogonalised only if ``orthogonal``; ends in an eigendecomposition on the Krylov space."""
 
-    def __init__(self, A, v0=None, maxiter: int = 300, callback=None):
-        self.A = asoperator(A)
+    def __init__(self, A, v0=None, maxiter: int = 300, callback=None, orthogonal: bool = False):
+        self.A, self.orthogonal = asoperator(A), orthogonal
         n = self.A.shapein
         v = np.ones(n) if v0 is None else np.asarray(v0, float)
         super().__init__(MaxIterationStopCondition(min(maxiter, n)), None, callback, v=v / np.linalg.norm(v))
@@ -107,6 +107,8 @@ class LanczosAlgorithm(IterativeAlgorithm):
         w = w - a * self.v - (self.beta[-1] * self.basis[-1] if self.beta else 0)
         self.alpha.append(a)
         self.basis.append(self.v)
+        for _ in range(2 if self.orthogonal else 0):
+            w = w - np.array(self.basis).T @ (np.array(self.basis) @ w)
         b = float(np.linalg.norm(w))
         if b < 1e-12 * max(map(abs, self.alpha)):
             self.normal_stop = MaxIterationStopCondition(self.niterations)

@@ -250,18 +250,22 @@ def bfgs(criterion: Criterion, x0, tol: float = 1e-8, maxiter: int = 500, memory
     return x
 
 
-def double_loop(model, data, prior, sigma: float = 1.0, tau: float = 1.0, outer: int = 5, lanczos: int = 30, z0: float = 0.05) -> np.ndarray:
+def double_loop(model, data, prior, sigma: float = 1.0, tau: float = 1.0, outer: int = 5, lanczos: int = 300, z0: float = 0.05, inner: int = 200, tol: float = 1e-6) -> np.ndarray:
     """Sparse Bayesian inference: the outer loop approximates posterior variances of prior x by Lanczos, the
-    inner one minimises |model x - data|² / sigma² + 2 tau sum sqrt((prior x)² / sigma² + z) by reweighted systems."""
+    inner one minimises |model x - data|² / sigma² + 2 tau sum sqrt((prior x)² / sigma² + z) by reweighted systems
+    until x moves by less than tol of its norm, at most inner times."""
     m, p = asoperator(model), asoperator(prior)
     data = np.asarray(data, float)
     x, z = np.zeros(m.shapein), np.full(p.shapeout, z0)
     for _ in range(outer):
-        for _ in range(5):
+        for _ in range(inner):
+            before = x
             gamma = np.sqrt((p(x) / sigma) ** 2 + z) / tau
             a = m.T * m + p.T * asoperator(1 / gamma) * p
             x = pcg(a, m.T(data), x0=x, tol=1e-8)["x"]
-        e = LanczosAlgorithm(a, maxiter=min(lanczos, m.shapein)).run()
+            if np.linalg.norm(x - before) <= tol * np.linalg.norm(x):
+                break
+        e = LanczosAlgorithm(a, maxiter=min(lanczos, m.shapein), orthogonal=True).run()
         v = np.stack([p(c) for c in e.eigenvectors.T])
         z = np.maximum(((v**2).T @ (1 / np.maximum(e.eigenvalues, 1e-12))), 1e-12)
     return x

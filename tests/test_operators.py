@@ -266,3 +266,17 @@ def test_proxies_and_split():
     assert calls == [0, 1, 2]
     assert [s.stop - s.start for s in split(7, 3)] == [3, 2, 2]
     assert ConstantOperator([2, 2]).data.ndim == 0
+
+
+def test_double_loop_beyond_30_unknowns():
+    """Against the same loops with dense solves and exact variances."""
+    rng = np.random.default_rng(3)
+    a, n = rng.normal(size=(40, 50)), 50
+    d = a @ np.where(np.arange(n) % 7 == 0, 3.0, 0.0)
+    x, z = np.zeros(n), np.full(n, 0.05)
+    for _ in range(5):
+        for _ in range(500):
+            h = a.T @ a + np.diag(1 / np.sqrt(x**2 + z))
+            x = np.linalg.solve(h, a.T @ d)
+        z = np.diag(np.linalg.inv(h))
+    assert np.allclose(double_loop(DenseOperator(a), d, IdentityOperator(n)), x, atol=1e-3)
