@@ -45,3 +45,20 @@ def test_stream_projection(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["v"] for r in spark.sql("select v from clipped").collect()) == [1, 1, 2, 3, 3]
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_corpus_operators(tmp_path, pipeline):
+    """With the corpus subpackage deleted (its caches may stay), the algebra's queries are all there."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "opweave", tmp_path / "opweave", ignore=shutil.ignore_patterns("llm"))
+    (tmp_path / "opweave" / "llm" / "__pycache__").mkdir(parents=True)
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline and (root / "corpus_pipeline.py").exists() else [])):
+        shutil.copy(root / name, tmp_path / name)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert list(map(int, out.stdout.split())) == [len(QUERIES), len(ORACLES)]
