@@ -5,7 +5,7 @@ An operator maps vectors to vectors. It can be applied to
 * a NumPy array (last axis is the vector), for small checks and constant folding,
 * a ``Column`` (element-wise operators; the expression stays inside whole-stage codegen),
 * a ``Field``: a DataFrame with an index column ``i``, a value column ``v`` and any further key columns,
-  one row for each element of each vector.
+  one row for each element of each vector. Complex values are ``struct<re, im>`` (see ``values``).
 
 ``+ - * / **`` combine operators; for two linear ones ``*`` composes, else it multiplies element-wise;
 a linear operator times data applies it. ``C T H I`` are conjugate, transpose, adjoint and inverse.
@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opweave.values import complex_, conjugate, is_complex, lifted, literal, plus, times, total
+
 FLAGS = ("linear", "square", "real", "symmetric", "hermitian", "idempotent", "involutary", "orthogonal", "unitary", "separable")
 
 
@@ -36,6 +38,14 @@ class Field:
     def values(self, v: Column) -> Field:
         return replace(self, df=self.df.withColumn("v", v))
 
+    @property
+    def is_complex(self) -> bool:
+        return is_complex(self.df)
+
+    def lifted(self) -> Field:
+        """With complex values."""
+        return self.values(lifted(F.col("v"), self.is_complex))
+
     def densified(self) -> Field:
         """Zeros for absent indices; needs n."""
         if self.dense:
@@ -46,7 +56,7 @@ class Field:
         if self.keys:
             heads = self.df.select(*self.keys).distinct()
             axis = heads.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.n - 1).cast("long"))))
-        df = axis.join(self.df, [*self.keys, "i"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+        df = axis.join(self.df, [*self.keys, "i"], "left").withColumn("v", F.coalesce("v", literal(0, self.is_complex)))
         return replace(self, df=df, dense=True)
 
 
@@ -103,10 +113,16 @@ class Operator:
         if not self.separable and self._column is None:
             raise NotImplementedError(f"{self.name} can't be applied to a field")
         f = f if self.linear else f.densified()
-        return f.values(self.on_column(F.col("v"), F.col("i")))
+        if not self.real:
+            raise TypeError(f"{self.name} is complex and has no column expression")
+        if not f.is_complex:
+            return f.values(self.on_column(F.col("v"), F.col("i")))
+        if not self.linear:
+            raise TypeError(f"{self.name} takes real fields")
+        return f.values(complex_(self.on_column(F.col("v")["re"], F.col("i")), self.on_column(F.col("v")["im"], F.col("i"))))
 
     def conjugate_(self) -> Operator | None:
-        return self if self.real else None
+        return self if self.real else Conjugated(self)
 
     def transpose_(self) -> Operator | None:
         if self._transpose is None:
@@ -151,7 +167,11 @@ class Operator:
 
     # application and algebra
 
-    def __call__(self, x):
+    def __call__(self, x, out=None, operation: str = "add"):
+        """The operator applied to x; with ``out``, what it gives is combined with out (add, subtract, multiply
+        or divide), element by element. Nothing is changed in place."""
+        if out is not None:
+            return accumulated(self(x), out, operation)
         if isinstance(x, Operator):
             return self if x is self and self.idempotent else compose(self, x)
         if isinstance(x, Field):
@@ -166,6 +186,8 @@ class Operator:
         return self.on_array(x)
 
     def __mul__(self, other):
+        if isinstance(other, Variable):
+            return NotImplemented
         if isinstance(other, Operator) or np.isscalar(other):
             o = asoperator(other)
             if self is o and self.idempotent:
@@ -241,6 +263,19 @@ class Operator:
     def shape(self):
         return self.shapeout, self.shapein
 
+    def copy(self) -> Operator:
+        """A shallow copy with rules of its own."""
+        out = object.__new__(type(self))
+        out.__dict__.update(self.__dict__, rules=dict(self.rules))
+        return out
+
+    def delete(self) -> None:
+        """Lets go of the operator's data; what is left can't be applied."""
+        name = self.name
+        self.__dict__.clear()
+        self.__class__ = DeletedOperator
+        DeletedOperator.__init__(self, name)
+
     @property
     def nbytes(self) -> int:
         return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
@@ -268,6 +303,38 @@ class Operator:
         del self.rules[subject]
 
 
+class DeletedOperator(Operator):
+    def __init__(self, name: str = "?"):
+        super().__init__(name=f"deleted {name}")
+
+    def on_array(self, x):
+        raise RuntimeError(f"{self.name} can't be applied")
+
+    on_column = on_field = on_array
+
+
+class Conjugated(Operator):
+    """conj(A(conj(x))), for a complex operator that doesn't say what its conjugate is."""
+
+    def __init__(self, of: Operator):
+        super().__init__(shapein=of.shapein, shapeout=of.shapeout, name=f"{of.name}.C", linear=of.linear, real=False)
+        self.of = of
+
+    def on_array(self, x):
+        return np.conj(self.of.on_array(np.conj(x)))
+
+    def on_field(self, f):
+        out = self.of(f.lifted().values(conjugate(lifted(F.col("v"), f.is_complex))))
+        return out.values(conjugate(lifted(F.col("v"), out.is_complex)))
+
+    def conjugate_(self):
+        return self.of
+
+    def transpose_(self):
+        t = self.of.T
+        return None if isinstance(t, Missing) else Conjugated(t)
+
+
 class Missing(Operator):
     """An associated operator without a body: it exists, and fails when applied."""
 
@@ -348,13 +415,17 @@ class Addition(Operator):
         return out
 
     def on_field(self, f):
-        if self.separable:
+        if self.separable and self.real and not f.is_complex:
             return super().on_field(f)
         done = [o(f) for o in self.operands]
-        df = done[0].df.select(*f.keys, "i", "v")
+        any_complex = any(g.is_complex for g in done)
+        if any_complex:
+            done = [g.lifted() for g in done]
+        keys = done[0].keys
+        df = done[0].df.select(*keys, "i", "v")
         for g in done[1:]:
-            df = df.unionByName(g.df.select(*f.keys, "i", "v"))
-        return Field(df.groupBy(*f.keys, "i").agg(F.sum("v").alias("v")), done[0].n, f.keys, all(g.dense for g in done))
+            df = df.unionByName(g.df.select(*keys, "i", "v"))
+        return Field(df.groupBy(*keys, "i").agg(total(F.col("v"), any_complex).alias("v")), done[0].n, keys, all(g.dense for g in done))
 
     def conjugate_(self):
         return add(*(o.C for o in self.operands))
@@ -384,12 +455,13 @@ class Multiplication(Operator):
         return out
 
     def on_field(self, f):
-        if self.separable:
+        if self.separable and self.real and not f.is_complex:
             return super().on_field(f)
         out = self.operands[0](f)
         for o in self.operands[1:]:
-            df = o(f).df.select(*f.keys, "i", F.col("v").alias("w"))
-            out = replace(out, df=out.df.join(df, [*f.keys, "i"]).withColumn("v", F.col("v") * F.col("w")).drop("w"))
+            other = o(f)
+            v = times(F.col("v"), F.col("w"), out.is_complex, other.is_complex)
+            out = replace(out, df=out.df.join(other.df.select(*f.keys, "i", F.col("v").alias("w")), [*f.keys, "i"]).withColumn("v", v).drop("w"))
         return out
 
 
@@ -423,7 +495,8 @@ def multiply(*ops: Operator) -> Operator:
 
 
 def asoperator(x, constant: bool = False) -> Operator:
-    """An operator from an operator, scalar, array, (i, j, v) DataFrame, NumPy ufunc or callable."""
+    """An operator from an operator, scalar, array, (i, j, a) DataFrame, NumPy ufunc, sparse matrix (anything
+    with ``tocoo``), linear operator (anything with ``shape`` and ``matvec``) or callable."""
     from opweave.operators import dense, diagonal, elementwise, sparse
 
     if isinstance(x, Operator):
@@ -434,8 +507,13 @@ def asoperator(x, constant: bool = False) -> Operator:
         return diagonal.ConstantOperator(x) if constant else diagonal.HomothetyOperator(x)
     if isinstance(x, DataFrame):
         return sparse.SparseOperator(x)
+    if hasattr(x, "tocoo"):
+        m = x.tocoo()
+        return sparse.SparseOperator((m.row, m.col, m.data), m.shape)
+    if hasattr(x, "matvec") and hasattr(x, "shape"):
+        return Operator(_batched(x.matvec), transpose=_batched(getattr(x, "rmatvec", None)), shapein=x.shape[1], shapeout=x.shape[0], linear=True, square=x.shape[0] == x.shape[1])
     if callable(x):
-        return Operator(x, column=x)
+        return Operator(x, column=vectorised(x), separable=True)
     a = np.asarray(x)
     if constant:
         return diagonal.ConstantOperator(a)
@@ -444,7 +522,67 @@ def asoperator(x, constant: bool = False) -> Operator:
     return diagonal.DiagonalOperator(a) if a.ndim == 1 else dense.DenseOperator(a) if a.ndim == 2 else dense.DenseBlockDiagonalOperator(a)
 
 
-@dataclass
+def _batched(f):
+    """A function of one vector, for arrays whose last axis is the vector."""
+    return f and (lambda x: f(x) if np.ndim(x) == 1 else np.apply_along_axis(f, -1, x))
+
+
+def vectorised(f: Callable) -> Callable:
+    """A function of arrays as one of columns: applied to the column itself if it can be, else to Arrow batches."""
+
+    def column(c: Column) -> Column:
+        try:
+            out = f(c)
+        except Exception:  # noqa: BLE001  whatever a function of arrays does with a column
+            out = None
+        if isinstance(out, Column):
+            return out
+        import pandas as pd
+
+        def batch(s):
+            return pd.Series(np.asarray(f(s.to_numpy()), float))
+
+        batch.__annotations__ = {"s": pd.Series, "return": pd.Series}
+        return F.pandas_udf(batch, "double")(c)
+
+    return column
+
+
+def asoperator1d(x) -> Operator:
+    """The operator of flat vectors: an operator between arrays with several axes is wrapped."""
+    op = asoperator(x)
+    dims = getattr(op, "array_shape", None)
+    if dims is None or len(dims) < 2 or getattr(op, "flat", True):
+        return op
+    back = lambda a, y: np.reshape(y, (*np.shape(a)[:-1], -1))
+    size = int(np.prod(dims))
+    return Operator(lambda a: back(a, op(np.reshape(a, (*np.shape(a)[:-1], *dims)))), transpose=lambda a: back(a, op.T(np.reshape(a, (*np.shape(a)[:-1], *dims)))), shapein=size, shapeout=size, linear=op.linear, name=f"{op.name}1d")
+
+
+#: NumPy's function, and whether a field's absent indices may be left out, for ``accumulated``.
+COMBINE = {"add": np.add, "subtract": np.subtract, "multiply": np.multiply, "divide": np.divide}
+
+
+def accumulated(new, out, operation: str = "add"):
+    """out combined with new."""
+    if operation not in COMBINE:
+        raise ValueError(f"no operation {operation!r}; there are {', '.join(COMBINE)}")
+    if not isinstance(out, Field):
+        return COMBINE[operation](out, new)
+    a, b, keys = out.densified(), new.densified(), [*out.keys, "i"]
+    ac, bc = a.is_complex, b.is_complex
+    o, n = F.col("v"), F.col("w")
+    if operation == "divide":
+        if bc:
+            raise TypeError("a field can't be divided by a complex one")
+        n, operation = F.pow(n, F.lit(-1.0)), "multiply"
+    if operation == "subtract":
+        n = complex_(-n["re"], -n["im"]) if bc else -n
+    v = times(o, n, ac, bc) if operation == "multiply" else plus(o, n, ac, bc)
+    return replace(a, df=a.df.join(b.df.select(*keys, F.col("v").alias("w")), keys).withColumn("v", v).drop("w"))
+
+
+@dataclass(eq=False)
 class Variable:
     """A symbol, for printing expressions."""
 
@@ -457,3 +595,37 @@ class Variable:
 
     def __repr__(self):
         return self.name + self.suffix
+
+    def _with(self, sign: str, other, swap: bool = False) -> Variable:
+        a, b = (other, self) if swap else (self, other)
+        return Variable(f"({a!r} {sign} {b!r})")
+
+    def __add__(self, other):
+        return self._with("+", other)
+
+    def __radd__(self, other):
+        return self._with("+", other, True)
+
+    def __sub__(self, other):
+        return self._with("-", other)
+
+    def __rsub__(self, other):
+        return self._with("-", other, True)
+
+    def __mul__(self, other):
+        return self._with("*", other)
+
+    def __rmul__(self, other):
+        return self._with("*", other, True)
+
+    def __truediv__(self, other):
+        return self._with("/", other)
+
+    def __rtruediv__(self, other):
+        return self._with("/", other, True)
+
+    def __pow__(self, n):
+        return self._with("**", n)
+
+    def __neg__(self):
+        return Variable(f"-{self!r}")

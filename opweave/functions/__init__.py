@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opweave.operators.block import split  # noqa: F401
 from opweave.operators.diagonal import special_values as inspect_special_values  # noqa: F401
+from opweave.values import abs2, complex_, conjugate, multiply, multiply_conjugate  # noqa: F401
 
 
 def broadcast_shapes(*shapes: tuple) -> tuple:
@@ -73,28 +74,5 @@ def complex_dtype(d) -> np.dtype:
     return np.result_type(np.dtype(d), np.complex64 if np.dtype(d).itemsize < 8 and np.dtype(d).kind == "f" else np.complex128)
 
 
-# complex numbers are struct<re, im>
-
-
-def complex_(re: Column, im: Column) -> Column:
-    return F.struct(re.cast("double").alias("re"), im.cast("double").alias("im"))
-
-
-def conjugate(c: Column) -> Column:
-    return complex_(c["re"], -c["im"])
-
-
-def multiply(a: Column, b: Column) -> Column:
-    return complex_(a["re"] * b["re"] - a["im"] * b["im"], a["re"] * b["im"] + a["im"] * b["re"])
-
-
-def multiply_conjugate(a: Column, b: Column) -> Column:
-    return multiply(a, conjugate(b))
-
-
-def abs2(c: Column) -> Column:
-    return c["re"] * c["re"] + c["im"] * c["im"]
-
-
 def masking(c: Column, mask: Column) -> Column:
     return F.when(mask, F.lit(0.0)).otherwise(c)

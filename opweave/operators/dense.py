@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opweave.expr import Field, Operator
 from opweave.operators.sparse import MatrixOperator
+from opweave.values import ddl, row_values, times, total
 
 
 class DenseOperator(MatrixOperator):
@@ -58,12 +59,12 @@ class DenseBlockDiagonalOperator(Operator):
 
     def on_field(self, f):
         flat = self.data.reshape(-1, *self.data.shape[-2:])
-        rows = [(b, i, j, float(flat[b, i, j])) for b, i, j in product(*map(range, flat.shape))]
-        m = f.df.sparkSession.createDataFrame(rows, "block long, r long, j long, a double")
+        rows = [(b, i, j, row_values(flat[b, i, j])) for b, i, j in product(*map(range, flat.shape))]
+        m = f.df.sparkSession.createDataFrame(rows, f"block long, r long, j long, a {ddl(flat)}")
         on = ["block", "j"] if "block" in f.keys else ["j"]
         x = f.df.withColumnRenamed("i", "j")
         keys = tuple(dict.fromkeys([*f.keys, "block"]))
-        out = x.join(m, on).groupBy(*keys, F.col("r").alias("i")).agg(F.sum(F.col("a") * F.col("v")).alias("v"))
+        out = x.join(m, on).groupBy(*keys, F.col("r").alias("i")).agg(total(times(F.col("a"), F.col("v"), not self.real, f.is_complex), not self.real or f.is_complex).alias("v"))
         return Field(out, self.shapeout, keys, f.dense)
 
     def conjugate_(self):
@@ -76,6 +77,27 @@ class DenseBlockDiagonalOperator(Operator):
         return DenseBlockDiagonalOperator(np.linalg.inv(self.data)) if self.shapein == self.shapeout else None
 
 
+def dense(data, naxes: int = 1, naxesin: int | None = None, naxesout: int | None = None, naxesextra: int = 0, broadcast: str = "leftward") -> Operator:
+    """The operator of an array whose axes are extra ones (a batch), then the output's, then the input's; the
+    latter two are flattened in C order. A number alone is a homothety. ``rightward`` takes the batch's axes last."""
+    from opweave.operators.diagonal import HomothetyOperator
+
+    a = np.asarray(data)
+    if a.ndim == 0:
+        return HomothetyOperator(a[()])
+    if broadcast not in ("leftward", "rightward", "disabled"):
+        raise ValueError(f"no broadcast {broadcast!r} for a dense operator")
+    nin = naxesin if naxesin is not None else a.ndim - naxesextra - naxesout if naxesout is not None else naxes
+    nout = naxesout if naxesout is not None else a.ndim - naxesextra - nin
+    if nin < 1 or nout < 1 or nin + nout + naxesextra != a.ndim:
+        raise ValueError(f"{a.ndim} axes aren't {naxesextra} extra, {nout} output and {nin} input axes")
+    if broadcast == "rightward" and naxesextra:
+        a = np.moveaxis(a, range(a.ndim - naxesextra, a.ndim), range(naxesextra))
+    extra = a.shape[:naxesextra]
+    a = a.reshape(*extra, int(np.prod(a.shape[naxesextra : naxesextra + nout])), -1)
+    return DenseBlockDiagonalOperator(a) if naxesextra else DenseOperator(a)
+
+
 def _angle(a, degrees: bool):
     return np.radians(a) if degrees else np.asarray(a, float)
 

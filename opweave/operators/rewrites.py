@@ -16,8 +16,13 @@ from opweave.operators.transform import ConvolutionOperator, FFTOperator, Invers
 from opweave.rules import binary
 
 
-def _known(x) -> bool:
-    return not isinstance(x, DataFrame)
+def _known(op) -> bool:
+    """A diagonal whose data are an array of the vector's own length."""
+    return not isinstance(op.data, DataFrame) and op.broadcast in ("disabled", "scalar")
+
+
+def _whole(op: ConstantOperator) -> bool:
+    return op.data.ndim == 0 or op.broadcast in ("disabled", "scalar")
 
 
 @binary("compose", Operator, Operator)
@@ -63,7 +68,7 @@ def scalar_forward(a, b):
     """Scalars move to the front of linear runs, or into an operator that can hold them."""
     if not a.linear:
         return None
-    if isinstance(a, DiagonalOperator) and _known(a.data):
+    if isinstance(a, DiagonalOperator) and _known(a):
         return [DiagonalOperator(a.data * b.value)]
     if isinstance(a, DenseOperator):
         return [DenseOperator(a.data * b.value)]
@@ -76,7 +81,7 @@ def scalar_forward(a, b):
 
 @binary("compose", HomothetyOperator, DiagonalOperator)
 def scalar_diagonal(a, b):
-    return [DiagonalOperator(b.data * a.value)] if _known(b.data) else None
+    return [DiagonalOperator(b.data * a.value)] if _known(b) else None
 
 
 @binary("compose", HomothetyOperator, DenseOperator)
@@ -101,13 +106,13 @@ def zero_right(a, b):
 
 @binary("compose", ConstantOperator, Operator)
 def constant_left(a, b):
-    return [a] if a.data.ndim else None
+    return [a] if a.data.ndim and _whole(a) else None
 
 
 @binary("compose", Operator, ConstantOperator)
 def constant_right(a, b):
     """Constant folding: the operator is applied to the constant."""
-    if isinstance(a, Missing) or not (a.separable or b.data.ndim):
+    if isinstance(a, Missing) or not (a.separable or b.data.ndim) or not _whole(b):
         return None
     try:
         return [ConstantOperator(a.on_array(b.data))]
@@ -117,7 +122,7 @@ def constant_right(a, b):
 
 @binary("compose", DiagonalOperator, DiagonalOperator)
 def diagonals(a, b):
-    return [DiagonalOperator(a.data * b.data)] if _known(a.data) and _known(b.data) else None
+    return [DiagonalOperator(a.data * b.data)] if _known(a) and _known(b) else None
 
 
 @binary("compose", MaskOperator, MaskOperator)
@@ -235,32 +240,32 @@ def zero_sum(a, b):
 
 @binary("add", ConstantOperator, ConstantOperator)
 def constant_sum(a, b):
-    return [ConstantOperator(a.data + b.data)]
+    return [ConstantOperator(a.data + b.data)] if _whole(a) and _whole(b) else None
 
 
 @binary("multiply", ConstantOperator, ConstantOperator)
 def constant_product(a, b):
-    return [ConstantOperator(a.data * b.data)]
+    return [ConstantOperator(a.data * b.data)] if _whole(a) and _whole(b) else None
 
 
 @binary("multiply", ConstantOperator, Operator)
 def constant_linear(a, b):
-    return [compose(DiagonalOperator(a.data) if a.data.ndim else HomothetyOperator(a.data[()]), b)] if b.linear else None
+    return [compose(DiagonalOperator(a.data, broadcast=a.broadcast) if a.data.ndim else HomothetyOperator(a.data[()]), b)] if b.linear else None
 
 
 @binary("add", DiagonalOperator, DiagonalOperator)
 def diagonal_sum(a, b):
-    return [DiagonalOperator(a.data + b.data)] if _known(a.data) and _known(b.data) else None
+    return [DiagonalOperator(a.data + b.data)] if _known(a) and _known(b) else None
 
 
 @binary("add", HomothetyOperator, DiagonalOperator)
 def scalar_plus_diagonal(a, b):
-    return [DiagonalOperator(a.value + b.data)] if _known(b.data) else None
+    return [DiagonalOperator(a.value + b.data)] if _known(b) else None
 
 
 @binary("add", IdentityOperator, DiagonalOperator)
 def identity_plus_diagonal(a, b):
-    return [DiagonalOperator(1 + b.data)] if _known(b.data) else None
+    return [DiagonalOperator(1 + b.data)] if _known(b) else None
 
 
 @binary("compose", BlockDiagonalOperator, BlockDiagonalOperator)
@@ -285,7 +290,7 @@ def row_column(a, b):
 
 @binary("compose", DiagonalOperator, BlockDiagonalOperator)
 def diagonal_block(a, b):
-    if not _known(a.data):
+    if not _known(a):
         return None
     cuts = np.cumsum([0, *b.partitionout])
     return [BlockDiagonalOperator([compose(DiagonalOperator(a.data[i:j]), o) for o, i, j in zip(b.operands, cuts, cuts[1:])], b.partitionin)]

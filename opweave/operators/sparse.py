@@ -13,6 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opweave.expr import Field, Operator
+from opweave.operators.axes import Axial
+from opweave.values import complex_, ddl, is_complex, literal, row_values, times, total
+
+
+#: Entries of a DataFrame that the array side will gather on the driver; fields have no such bound.
+MOST_GATHERED = 10_000_000
 
 
 class MatrixOperator(Operator):
@@ -26,8 +32,11 @@ class MatrixOperator(Operator):
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.frame is None:
             raise NotImplementedError
-        rows = self.frame.select("i", "j", "a").toPandas()
-        return rows.i.to_numpy(), rows.j.to_numpy(), rows.a.to_numpy()
+        re, im = (F.col("a")["re"], F.col("a")["im"]) if is_complex(self.frame, "a") else (F.col("a"), F.lit(0.0))
+        rows = self.frame.select("i", "j", re.alias("re"), im.alias("im")).limit(MOST_GATHERED + 1).toPandas()
+        if len(rows) > MOST_GATHERED:
+            raise ValueError(f"more than {MOST_GATHERED} entries; apply the operator to a field")
+        return rows.i.to_numpy(), rows.j.to_numpy(), rows.re.to_numpy() if self.real else rows.re.to_numpy() + 1j * rows.im.to_numpy()
 
     def matrix(self) -> np.ndarray:
         i, j, a = self.entries()
@@ -46,12 +55,13 @@ class MatrixOperator(Operator):
         if self.frame is not None:
             return self.frame
         i, j, a = self.entries()
-        return spark.createDataFrame([(int(p), int(q), float(r)) for p, q, r in zip(i, j, a)], "i long, j long, a double")
+        return spark.createDataFrame([(int(p), int(q), row_values(r)) for p, q, r in zip(i, j, a)], f"i long, j long, a {ddl(a)}")
 
     def on_field(self, f: Field) -> Field:
         m = self.to_frame(f.df.sparkSession).select("i", "j", "a")
         x = f.df.select(*f.keys, F.col("i").alias("j"), "v")
-        out = x.join(m, "j").groupBy(*f.keys, "i").agg(F.sum(F.col("a") * F.col("v")).alias("v"))
+        ac, vc = is_complex(m, "a"), f.is_complex
+        out = x.join(m, "j").groupBy(*f.keys, "i").agg(total(times(F.col("a"), F.col("v"), ac, vc), ac or vc).alias("v"))
         return Field(out, self.shapeout, f.keys, dense=False)
 
     def transpose_(self):
@@ -78,9 +88,12 @@ class SparseOperator(MatrixOperator):
 
     def __init__(self, matrix, shape: tuple[int | None, int | None] | None = None):
         if isinstance(matrix, DataFrame):
-            super().__init__(*(shape or (None, None)), name="Sparse")
+            super().__init__(*(shape or (None, None)), real=not is_complex(matrix, "a"), name="Sparse")
             self.frame = matrix
             return
+        if hasattr(matrix, "tocoo"):  # any format of a sparse matrix library
+            m = matrix.tocoo()
+            matrix, shape = (m.row, m.col, m.data), m.shape
         if isinstance(matrix, tuple) and len(matrix) == 3:
             if shape is None:
                 raise ValueError("entries need a shape")
@@ -96,26 +109,32 @@ class SparseOperator(MatrixOperator):
         return self.coo if self.frame is None else super().entries()
 
     def conjugate_(self):
-        return self if self.real else SparseOperator((self.coo[0], self.coo[1], self.coo[2].conj()), (self.shapeout, self.shapein))
+        if self.real:
+            return self
+        if self.frame is not None:
+            return SparseOperator(self.frame.withColumn("a", complex_(F.col("a")["re"], -F.col("a")["im"])), (self.shapeout, self.shapein))
+        return SparseOperator((self.coo[0], self.coo[1], self.coo[2].conj()), (self.shapeout, self.shapein))
 
     def scaled(self, a):
         if self.frame is not None:
-            return SparseOperator(self.frame.withColumn("a", F.col("a") * a), (self.shapeout, self.shapein))
+            by = times(literal(a, isinstance(a, complex)), F.col("a"), isinstance(a, complex), not self.real)
+            return SparseOperator(self.frame.withColumn("a", by), (self.shapeout, self.shapein))
         return SparseOperator((self.coo[0], self.coo[1], self.coo[2] * a), (self.shapeout, self.shapein))
 
 
-def shifted(f: Field, offsets: dict[int, float]) -> DataFrame:
+def shifted(f: Field, offsets: dict[int, complex]) -> DataFrame:
     """sum over offsets k of w * x[i + k], by re-keying: no window over a whole vector is needed."""
-    moves = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(w)).alias("w")) for k, w in offsets.items()])
+    wc, vc = any(map(np.iscomplexobj, offsets.values())), f.is_complex
+    moves = F.array(*[F.struct(F.lit(k).alias("k"), literal(w, wc).alias("w")) for k, w in offsets.items()])
     x = f.df.select(*f.keys, "i", "v", F.explode(moves).alias("m"))
-    return x.groupBy(*f.keys, (F.col("i") - F.col("m.k")).alias("i")).agg(F.sum(F.col("m.w") * F.col("v")).alias("v"))
+    return x.groupBy(*f.keys, (F.col("i") - F.col("m.k")).alias("i")).agg(total(times(F.col("m.w"), F.col("v"), wc, vc), wc or vc).alias("v"))
 
 
 class StencilOperator(MatrixOperator):
     """The same weights around every index of a vector of length n: rows 0 to m - 1."""
 
     def __init__(self, weights: dict[int, float], n: int | None, m: int | None = None, **flags):
-        super().__init__(m if m is not None else n, n, **flags)
+        super().__init__(m if m is not None else n, n, **({"real": not any(map(np.iscomplexobj, weights.values()))} | flags))
         self.weights = weights
 
     def entries(self):
@@ -132,8 +151,8 @@ class StencilOperator(MatrixOperator):
         return Field(df, self.shapeout, f.keys, f.dense)
 
 
-class DifferenceOperator(StencilOperator):
-    """x[i + 1] - x[i]; one shorter."""
+class DifferenceOperator(Axial, StencilOperator):
+    """x[i + 1] - x[i]; one shorter. With ``shape`` and ``axis``, along an axis of arrays."""
 
     def __init__(self, n: int):
         super().__init__({0: -1.0, 1: 1.0}, n, n - 1, name="Difference")
@@ -213,13 +232,26 @@ class SymmetricBandOperator(MatrixOperator):
         return LowerTriangularOperator(np.array([np.r_[np.diagonal(low, -d), np.zeros(d)] for d in range(k)]))
 
 
+def _toeplitz(x, n: int, rows: np.ndarray) -> np.ndarray:
+    """Symmetric Toeplitz products by FFT; rows' leading axes broadcast against x's."""
+    k = rows.shape[-1]
+    size = 1 << int(np.ceil(np.log2(n + k)))
+    kernel = np.zeros((*rows.shape[:-1], size))
+    kernel[..., :k] = rows
+    kernel[..., size - k + 1 :] = rows[..., :0:-1]
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(kernel), size)[..., :n]
+
+
 class SymmetricBandToeplitzOperator(StencilOperator):
-    """Toeplitz with the given first row; on arrays by FFT, on fields as a stencil."""
+    """Toeplitz with the given first row; on arrays by FFT, on fields as a stencil. Several first rows make a
+    batch (``SymmetricBandToeplitzBatch``)."""
 
     def __new__(cls, n, firstrow):
         from opweave.operators.diagonal import DiagonalOperator
 
         row = np.atleast_1d(firstrow)
+        if row.ndim > 1:
+            return SymmetricBandToeplitzBatch(n, row)
         return DiagonalOperator(np.full(n, row[0])) if row.size == 1 else super().__new__(cls)
 
     def __init__(self, n: int, firstrow):
@@ -228,11 +260,32 @@ class SymmetricBandToeplitzOperator(StencilOperator):
         self.row = row
 
     def on_array(self, x):
-        size = 1 << int(np.ceil(np.log2(self.shapein + len(self.row))))
-        kernel = np.zeros(size)
-        kernel[: len(self.row)] = self.row
-        kernel[-len(self.row) + 1 :] = self.row[:0:-1]
-        return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(kernel), size)[..., : self.shapein]
+        return _toeplitz(x, self.shapein, self.row)
+
+
+class SymmetricBandToeplitzBatch(Operator):
+    """One Toeplitz operator for each first row; vectors x[..., row, :]. On a field the row's number is the key
+    ``block``; a field without that key is used by every row."""
+
+    def __init__(self, n: int, firstrows):
+        super().__init__(shapein=n, shapeout=n, linear=True, square=True, symmetric=True, name="Toeplitzes")
+        self.rows = np.asarray(firstrows, float)
+
+    def on_array(self, x):
+        return _toeplitz(x, self.shapein, self.rows)
+
+    def on_field(self, f):
+        if "block" in f.keys:
+            keys, df = f.keys, f.df
+        else:
+            keys, df = (*f.keys, "block"), f.df.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(self.rows) - 1).cast("long"))))
+        k = self.rows.shape[-1]
+        flat = F.lit(self.rows.ravel().tolist())
+        x = df.select(*keys, "i", "v", F.explode(F.sequence(F.lit(1 - k), F.lit(k - 1))).alias("o"))
+        w = F.get(flat, (F.col("block") * k + F.abs("o")).cast("int"))
+        at = F.col("i") + F.col("o")
+        out = x.where((at >= 0) & (at < self.shapein)).groupBy(*keys, at.alias("i")).agg(total(times(w, F.col("v"), False, f.is_complex), f.is_complex).alias("v"))
+        return Field(out, self.shapein, keys, f.dense)
 
 
 class EigendecompositionOperator(Operator):
@@ -295,8 +348,8 @@ def trapeze(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return after.groupBy(*keys).agg(F.sum((F.col("x2") - F.col(x)) * (F.col(y) + F.col("y2")) * 0.5).alias("v"))
 
 
-class SumOperator(MatrixOperator):
-    """The sum of a vector; transposed, it repeats a number n times."""
+class SumOperator(Axial, MatrixOperator):
+    """The sum of a vector; transposed, it repeats a number n times. With ``shape`` and ``axis``, along an axis of arrays."""
 
     def __init__(self, n: int | None = None):
         super().__init__(1, n, name="Sum")
@@ -309,4 +362,4 @@ class SumOperator(MatrixOperator):
         return np.asarray(x).sum(axis=-1, keepdims=True)
 
     def on_field(self, f):
-        return replace(f, df=f.df.groupBy(*f.keys).agg(F.sum("v").alias("v")).withColumn("i", F.lit(0).cast("long")), n=1)
+        return replace(f, df=f.df.groupBy(*f.keys).agg(total(F.col("v"), f.is_complex).alias("v")).withColumn("i", F.lit(0).cast("long")), n=1)

@@ -13,32 +13,16 @@ from opweave.expr import Field, Operator, asoperator, multiply
 from opweave.operators.block import BlockColumnOperator, BlockDiagonalOperator, BlockRowOperator, BlockSliceOperator, DistributionIdentityOperator
 from opweave.operators.coords import Cartesian2SphericalOperator, Spherical2CartesianOperator
 from opweave.operators.dense import DenseBlockDiagonalOperator, DenseOperator, Rotation2dOperator, Rotation3dOperator
-from opweave.operators.diagonal import ByColumnOperator, DiagonalOperator, HomothetyOperator, IdentityOperator, MaskOperator, PackOperator, ZeroOperator
+from opweave.operators.diagonal import ByColumnOperator, DiagonalOperator, HomothetyOperator, IdentityOperator, MaskOperator, PackOperator, UnpackOperator, ZeroOperator
 from opweave.operators.elementwise import ClipOperator, DegreesOperator, HardThresholdingOperator, MaximumOperator, MinimumOperator, NormalizeOperator, NumexprOperator, PowerOperator, RadiansOperator, ReciprocalOperator, RoundOperator, SoftThresholdingOperator, SqrtOperator, To1dOperator, ToNdOperator, UfuncOperator
 from opweave.operators.reduce import MaxOperator, MinMaxOperator, MinOperator, ProductOperator, ReductionOperator
-from opweave.operators.sparse import DifferenceOperator, SparseOperator, StencilOperator, SumOperator, TridiagonalOperator, trapeze
+from opweave.operators.sparse import DifferenceOperator, SparseOperator, StencilOperator, SumOperator, trapeze
 from opweave.operators.transform import ConvolutionNdOperator, ConvolutionOperator, FFTOperator, Wavelet2dOperator, WaveletOperator
 from opweave.plans import field, rows
+from opweave.registry import ORACLES, QUERIES, query  # noqa: F401
 from opweave.session import table
-from opweave.solvers.cg import LanczosAlgorithm, pcg
 from opweave.solvers.criteria import Huber, Norm2, Normp
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str = ""):
-    """Registers a query; ``sql`` gives the same rows on the same tables."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 LINE = ["l_orderkey", "l_linenumber"]
 
 
@@ -117,8 +101,11 @@ def pack(s, d):
 
 @query("unpack", "select event_id, case when event_type='click' then value else 0.0::double end as y from events")
 def unpack(s, d):
-    """Unpack after Pack is the mask of what was left out."""
-    return table(s, d, "events").select("event_id", MaskOperator("event_type <> 'click'").on_column(F.col("value")).alias("y"))
+    """What Pack kept goes back to its places; zero elsewhere."""
+    t = table(s, d, "events").select(F.col("event_id").alias("i"), F.col("value").alias("v"), "event_type")
+    n = t.count()
+    packed = PackOperator("event_type = 'click'")(Field(t)).df.select("i", "v")
+    return UnpackOperator("event_type = 'click'", n, t)(Field(packed)).densified().df.select(F.col("i").alias("event_id"), F.col("v").alias("y"))
 
 
 @query("sum_axis", "select l_orderkey, sum(l_quantity) as y from lineitem group by 1")
@@ -159,13 +146,13 @@ def difference_transposed(s, d):
     return y.df.select(F.col("i").alias("event_id"), F.round("v", 4).alias("y"))
 
 
-@query("trapeze", "select user_id, round(sum(0.5*(x2-event_id)*(value+v2)),4) as y from (select user_id,event_id,value,lead(event_id) over w x2,lead(value) over w v2 from events window w as (partition by user_id order by event_id)) where x2 is not null group by 1")
-def trapeze_(s, d):
+@query("trapeze_by_user", "select user_id, round(sum(0.5*(x2-event_id)*(value+v2)),4) as y from (select user_id,event_id,value,lead(event_id) over w x2,lead(value) over w v2 from events window w as (partition by user_id order by event_id)) where x2 is not null group by 1")
+def trapeze_by_user(s, d):
     return trapeze(table(s, d, "events"), ["user_id"], "event_id", "value").select("user_id", F.round("v", 4).alias("y"))
 
 
-@query("tridiagonal", "select event_id, round(2*value - coalesce(lag(value) over w,0) - coalesce(lead(value) over w,0),4) as y from events window w as (order by event_id)")
-def tridiagonal(s, d):
+@query("stencil", "select event_id, round(2*value - coalesce(lag(value) over w,0) - coalesce(lead(value) over w,0),4) as y from events window w as (order by event_id)")
+def stencil(s, d):
     x = _events(s, d, n=True)
     return StencilOperator({0: 2.0, -1: -1.0, 1: -1.0}, x.n, symmetric=True)(x).df.select(F.col("i").alias("event_id"), F.round("v", 4).alias("y"))
 
@@ -232,14 +219,6 @@ def block_diagonal(s, d):
     return op(field(t, "c_custkey", "c_acctbal", n=n)).df.select("i", F.col("v").alias("y"))
 
 
-@query("block_row", "select c_custkey % (select count(*)//2 from customer) i, sum(case when c_custkey < (select count(*)//2 from customer) then c_acctbal else 2*c_acctbal end) y from customer where c_custkey < 2*(select count(*)//2 from customer) group by 1")
-def block_row(s, d):
-    t = table(s, d, "customer")
-    half = t.count() // 2
-    op = BlockRowOperator([IdentityOperator(), HomothetyOperator(2)], [half, half])
-    return op(field(t.where(F.col("c_custkey") < 2 * half), "c_custkey", "c_acctbal")).df.select("i", F.col("v").alias("y"))
-
-
 @query("copies_transposed", "select event_id, round(3*value, 4) as y from events")
 def copies_transposed(s, d):
     op = DistributionIdentityOperator(3)
@@ -307,7 +286,7 @@ def wavelet_haar(s, d):
 @query("fft_rows", "select vec_id, (k.k)::bigint i, round(sum(e.embedding[g.j]::double*cos(2*pi()*k.k*(g.j-1)/64)),5) re, round(sum(-e.embedding[g.j]::double*sin(2*pi()*k.k*(g.j-1)/64)),5) im from embeddings e, generate_series(1,64) g(j), generate_series(0,63) k(k) group by 1,2")
 def fft_rows(s, d):
     y = FFTOperator(64)(rows(table(s, d, "embeddings"), "embedding", "vec_id", 64))
-    return y.df.select("vec_id", "i", F.round("v", 5).alias("re"), F.round("im", 5).alias("im"))
+    return y.df.select("vec_id", "i", F.round("v.re", 5).alias("re"), F.round("v.im", 5).alias("im"))
 
 
 @query("wavelet_2d", """select vec_id, (8*(4*a.a+p.p)+4*b.b+q.q)::bigint i, round((e.embedding[16*p.p+2*q.q+1]::double + (1-2*b.b)*e.embedding[16*p.p+2*q.q+2]::double
@@ -327,18 +306,13 @@ def convolution_2d(s, d):
     return op(rows(table(s, d, "embeddings"), "embedding", "vec_id", 64)).df.select("vec_id", "i", (F.round("v", 5) + 0.0).alias("y"))
 
 
-@query("pcg")
-def pcg_nation(s, d):
-    """Solves (graph Laplacian of suppliers sharing a nation + I) x = balances, on frames."""
-    sup = table(s, d, "supplier")
-    x = field(sup, "s_suppkey", F.round("s_acctbal", 2), n=sup.count())
-    op = 3 * IdentityOperator() + StencilOperator({0: 2.0, -1: -1.0, 1: -1.0}, x.n, symmetric=True)
-    return pcg(op, x, tol=1e-7)["x"].df.select("i", F.round("v", 4).alias("y"))
+@query("block_row", """with n as (select count(*) n from customer) select c_custkey % ((n.n+1)//2) i, sum(case when c_custkey < (n.n+1)//2 then c_acctbal else 2*c_acctbal end) y from customer, n group by 1""")
+def block_row(s, d):
+    """Two halves on top of each other; of an odd number of customers the second half is filled up by a zero."""
+    t = table(s, d, "customer")
+    half = (t.count() + 1) // 2
+    op = BlockRowOperator([IdentityOperator(), HomothetyOperator(2)], [half, half])
+    return op(field(t, "c_custkey", "c_acctbal")).df.select("i", F.col("v").alias("y"))
 
 
-@query("lanczos")
-def lanczos(s, d):
-    """Eigenvalues of the tridiagonal operator with nations' keys on its diagonal."""
-    keys = [r[0] for r in table(s, d, "nation").orderBy("n_nationkey").select("n_nationkey").collect()]
-    e = LanczosAlgorithm(TridiagonalOperator(np.array(keys, float), np.ones(len(keys) - 1)), v0=1 / (1 + np.arange(len(keys)))).run()
-    return s.createDataFrame([(i, round(float(w), 4)) for i, w in enumerate(sorted(e.eigenvalues))], "i long, w double")
+import opweave.array_queries  # noqa: E402, F401  registers its queries

@@ -1,4 +1,5 @@
-"""Norms, criteria, line searches and minimisers (nonlinear conjugate gradients, BFGS, Newton, double loop)."""
+"""Norms, criteria, line searches and minimisers (nonlinear conjugate gradients, BFGS, Newton, Powell, projected
+gradients, double loop). Those whose name ends in ``_field``, criteria and line searches take fields."""
 
 from __future__ import annotations
 
@@ -8,8 +9,10 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opweave.expr import Field, asoperator
-from opweave.solvers.cg import LanczosAlgorithm, pcg
+from opweave.expr import Field, accumulated, asoperator
+from opweave.session import written
+from opweave.solvers.cg import LanczosAlgorithm, lanczos_field, pcg
+from opweave.solvers.core import NEVER, IterativeAlgorithm, Stop, steps_done, when
 
 
 class Norm:
@@ -26,13 +29,20 @@ class Norm:
     def column(self, c: Column) -> Column:
         raise NotImplementedError
 
+    def slope(self, c: Column) -> Column:
+        """The derivative as an expression."""
+        raise NotImplementedError
+
     def of(self, f: Field) -> float:
         return self.factor * (f.df.agg(F.sum(self.column(F.col("v")))).first()[0] or 0.0)
 
     def __call__(self, t):
-        return self.factor * self.value(np.asarray(t))
+        return self.of(t) if isinstance(t, Field) else self.factor * self.value(np.asarray(t))
 
     def gradient(self, t):
+        if isinstance(t, Field):
+            t = t.densified()
+            return t.values(self.factor * self.slope(F.col("v")))
         return self.factor * self.derivative(np.asarray(t))
 
     def __mul__(self, a):
@@ -58,6 +68,18 @@ class Norm2(Norm):
     def column(self, c):
         return c * c
 
+    def slope(self, c):
+        return 2 * c
+
+    def of(self, f):
+        if self.C is None:
+            return super().of(f)
+        both = accumulated(self.C(f), f, "multiply")
+        return self.factor * (both.df.agg(F.sum("v")).first()[0] or 0.0)
+
+    def gradient(self, t):
+        return super().gradient(self.C(t) if self.C is not None and isinstance(t, Field) else t)
+
 
 class Huber(Norm):
     """t² below delta, then 2 delta |t| - delta²."""
@@ -75,6 +97,9 @@ class Huber(Norm):
     def column(self, c):
         return F.when(F.abs(c) < self.delta, c * c).otherwise(2 * self.delta * F.abs(c) - self.delta**2)
 
+    def slope(self, c):
+        return F.when(F.abs(c) < self.delta, 2 * c).otherwise(2 * self.delta * F.signum(c))
+
 
 class Normp(Norm):
     def __init__(self, p: float):
@@ -89,16 +114,21 @@ class Normp(Norm):
     def column(self, c):
         return F.pow(F.abs(c), F.lit(float(self.p)))
 
+    def slope(self, c):
+        return self.p * F.signum(c) * F.pow(F.abs(c), F.lit(float(self.p - 1)))
+
 
 class CriterionElement:
-    """norm(op x - data)."""
+    """norm(op x - data), of an array or of a field."""
 
     def __init__(self, norm: Norm, op, data=None):
         self.norm, self.op, self.data = norm, asoperator(op), data
 
     def residual(self, x):
         y = self.op(x)
-        return y if self.data is None else y - self.data
+        if self.data is None:
+            return y
+        return accumulated(self.data, y, "subtract") if isinstance(y, Field) else y - self.data
 
     def __call__(self, x):
         return self.norm(self.residual(x))
@@ -123,7 +153,13 @@ class Criterion:
         return sum(e(x) for e in self.elements)
 
     def gradient(self, x):
-        return sum(e.gradient(x) for e in self.elements)
+        out = [e.gradient(x) for e in self.elements]
+        if not isinstance(x, Field):
+            return sum(out)
+        df = out[0].df.select("i", "v")
+        for g in out[1:]:
+            df = df.unionByName(g.df.select("i", "v"))
+        return Field(df.groupBy("i").agg(F.sum("v").alias("v")), x.n, dense=all(g.dense for g in out))
 
     def __add__(self, other):
         return Criterion(self.elements + (other.elements if isinstance(other, Criterion) else [other]))
@@ -192,22 +228,64 @@ def polak_ribiere(g, old) -> float:
     return float(g @ (g - old)) / float(old @ old)
 
 
+class ConjugateGradient(IterativeAlgorithm):
+    """Nonlinear conjugate gradients on a criterion; ends when the gradient's norm is tol of the first one's."""
+
+    def __init__(self, criterion: Criterion, x0, tol: float = 1e-6, maxiter: int = 500, update: Callable = fletcher_reeves, line_search: Callable = optimal_step, callback=None, stop: Stop = NEVER):
+        settled = when(lambda a: a.error <= tol, f"the gradient is within {tol:g} of the first")
+        super().__init__(settled | steps_done(maxiter) | stop, callback=callback, x=np.asarray(x0, float))
+        self.criterion, self.update, self.line_search = criterion, update, line_search
+
+    def initialize(self):
+        super().initialize()
+        self.g = self.criterion.gradient(self.x)
+        self.d, self.first = -self.g, float(np.sqrt(self.g @ self.g))
+        self.error = 1.0 if self.first else 0.0
+
+    def iteration(self):
+        if float(self.d @ self.g) >= 0:
+            self.d = -self.g
+        self.x = self.x + self.line_search(self.criterion, self.x, self.d, self.g) * self.d
+        g = self.criterion.gradient(self.x)
+        self.d, self.g = -g + self.update(g, self.g) * self.d, g
+        self.error = float(np.sqrt(g @ g)) / self.first
+
+
 def conjugate_gradient(criterion: Criterion, x0, tol: float = 1e-6, maxiter: int = 500, update: Callable = fletcher_reeves, line_search: Callable = optimal_step, callback=None) -> np.ndarray:
-    """Nonlinear conjugate gradients."""
-    x = np.asarray(x0, float)
-    g = criterion.gradient(x)
-    d, first = -g, float(g @ g)
-    for k in range(maxiter):
-        if not first or float(g @ g) <= tol**2 * first:
+    told = callback and (lambda a: callback(a.niterations - 1, a.x) if a.niterations else None)
+    return ConjugateGradient(criterion, x0, tol, maxiter, update, line_search, told).run()
+
+
+def conjugate_gradient_field(criterion: Criterion, x0: Field, tol: float = 1e-6, maxiter: int = 100, exact: bool = True) -> Field:
+    """Nonlinear conjugate gradients (Polak and Ribière) on a field: x, the direction and the gradient are columns
+    of one frame, written once an iteration. ``exact`` takes the step that is right for quadratic criteria,
+    else steps are halved until the criterion falls."""
+    c, n = F.col, x0.n
+    at = lambda s, name: Field(s.select("i", c(name).alias("v")), n)
+    s = x0.densified().df.select("i", c("v").alias("x"))
+    first = d_g = None
+    for k in range(maxiter + 1):
+        g = criterion.gradient(at(s, "x")).df.select("i", c("v").alias("new"))
+        s = s.join(g, "i", "left").withColumn("new", F.coalesce("new", F.lit(0.0)))
+        s = written(s if k else s.withColumns({"g": F.lit(0.0), "d": F.lit(0.0)}))
+        gg, turn, old = s.agg(F.sum(c("new") * c("new")), F.sum(c("new") * (c("new") - c("g"))), F.sum(c("g") * c("g"))).first()
+        first = gg if first is None else first
+        if not first or gg <= tol**2 * first or k == maxiter:
             break
-        if float(d @ g) >= 0:
-            d = -g
-        x = x + line_search(criterion, x, d, g) * d
-        new = criterion.gradient(x)
-        d, g = -new + update(new, g) * d, new
-        if callback:
-            callback(k, x)
-    return x
+        beta = max(0.0, turn / old) if k else 0.0
+        s = s.select("i", "x", c("new").alias("g"), (beta * c("d") - c("new")).alias("d"))
+        d_g = s.agg(F.sum(c("d") * c("g"))).first()[0]
+        if d_g >= 0:
+            s = s.withColumn("d", -c("g"))
+            d_g = -gg
+        if exact:
+            step = -0.5 * d_g / sum(e.norm(e.op(at(s, "d"))) for e in criterion.elements)
+        else:
+            step, now = 1.0, criterion(at(s, "x"))
+            while step > 1e-12 and criterion(at(s.withColumn("t", c("x") + step * c("d")), "t")) >= now:
+                step /= 2
+        s = s.withColumn("x", c("x") + step * c("d"))
+    return at(s, "x")
 
 
 def acg(model, data, priors=(), hypers=(), covariances=None, **k) -> np.ndarray:
@@ -250,6 +328,117 @@ def bfgs(criterion: Criterion, x0, tol: float = 1e-8, maxiter: int = 500, memory
     return x
 
 
+def newton_cg(criterion: Criterion, x0, tol: float = 1e-8, maxiter: int = 100) -> np.ndarray:
+    """Newton steps; the Hessian's products are differences of gradients, its systems are solved by conjugate gradients."""
+    x = np.asarray(x0, float)
+    g = criterion.gradient(x)
+    for _ in range(maxiter):
+        size = float(np.sqrt(g @ g))
+        if size <= tol:
+            break
+        d, r, p = np.zeros(len(x)), -g, -g
+        for _ in range(2 * len(x)):
+            h = 1e-6 * (1 + np.sqrt(x @ x)) / np.sqrt(p @ p)
+            q = (criterion.gradient(x + h * p) - criterion.gradient(x - h * p)) / (2 * h)
+            curve = float(p @ q)
+            if curve <= 0:
+                d = d if d.any() else -g
+                break
+            step = float(r @ r) / curve
+            d, new = d + step * p, r - step * q
+            if np.sqrt(new @ new) <= min(0.1, size**0.5) * size:
+                break
+            p, r = new + (new @ new) / (r @ r) * p, new
+        x = x + armijo(criterion, x, d, g) * d
+        g = criterion.gradient(x)
+    return x
+
+
+def powell(criterion: Callable, x0, tol: float = 1e-10, maxiter: int = 200) -> np.ndarray:
+    """Without gradients: line searches (golden section) along directions that follow the progress made."""
+    x, ways = np.asarray(x0, float), list(np.eye(len(x0)))
+    ratio = (5**0.5 - 1) / 2
+
+    def along(x, d):
+        f = lambda t: criterion(x + t * d)
+        low, high, now = -1.0, 1.0, f(0.0)
+        while f(high) < now:
+            low, now, high = 0.0 if low < 0 else high / 2, f(high), 2 * high
+        while low < 0 and f(low) < now:
+            now, high, low = f(low), 0.0, 2 * low
+        while high - low > tol * (1 + abs(low) + abs(high)):
+            a, b = high - ratio * (high - low), low + ratio * (high - low)
+            low, high = (low, b) if f(a) < f(b) else (a, high)
+        return x + (low + high) / 2 * d
+
+    value = criterion(x)
+    for _ in range(maxiter):
+        start, gains = x, []
+        for d in ways:
+            x = along(x, d)
+            new = criterion(x)
+            gains.append(value - new)
+            value = new
+        if np.abs(x - start).max() <= tol * (1 + np.abs(x).max()):
+            break
+        ways.pop(int(np.argmax(gains)))
+        ways.append((x - start) / np.sqrt((x - start) @ (x - start)))
+        x = along(x, ways[-1])
+        value = criterion(x)
+        if abs(np.linalg.det(np.array(ways))) < 1e-8:
+            ways = list(np.eye(len(x)))
+    return x
+
+
+def bounded(criterion: Criterion, x0, low=-np.inf, high=np.inf, tol: float = 1e-8, maxiter: int = 5000) -> np.ndarray:
+    """Projected gradients with Barzilai and Borwein's steps, between bounds."""
+    inside = lambda x: np.clip(x, low, high)
+    x, step = inside(np.asarray(x0, float)), 1e-3
+    g, best = criterion.gradient(x), [criterion(x)]
+    for _ in range(maxiter):
+        if np.abs(inside(x - g) - x).max() <= tol:
+            break
+        d, t = inside(x - step * g) - x, 1.0
+        while criterion(x + t * d) > max(best[-10:]) + 1e-4 * t * float(g @ d) and t > 1e-12:
+            t /= 2
+        new = x + t * d
+        h = criterion.gradient(new)
+        s, y = new - x, h - g
+        step = float(s @ s) / float(s @ y) if s @ y > 0 else 1.0
+        x, g = new, h
+        best.append(criterion(x))
+    return x
+
+
+def constrained(criterion: Criterion, x0, equal=(), above=(), rounds: int = 30, tol: float = 1e-9) -> np.ndarray:
+    """An augmented Lagrangian over Powell's method: ``equal`` functions become 0, ``above`` functions 0 or more."""
+    x, weight = np.asarray(x0, float), 10.0
+    a, b = np.zeros(len(equal)), np.zeros(len(above))
+    for _ in range(rounds):
+
+        def whole(x, a=a, b=b, weight=weight):
+            e, m = np.array([f(x) for f in equal]), np.array([f(x) for f in above])
+            return criterion(x) + a @ e + weight / 2 * (e @ e) + ((np.maximum(0, b - weight * m) ** 2 - b**2).sum() / (2 * weight) if len(m) else 0.0)
+
+        x = powell(whole, x, tol)
+        e, m = np.array([f(x) for f in equal]), np.array([f(x) for f in above])
+        a, b = a + weight * e, np.maximum(0, b - weight * m)
+        if max([0.0, *np.abs(e), *np.maximum(0, -m)]) <= tol:
+            break
+        weight = min(1e4, 3 * weight)
+    return x
+
+
+#: Minimisers by name: with gradients, without, between bounds, under constraints.
+MINIMISERS = {"bfgs": bfgs, "cg": lambda c, x0, **k: conjugate_gradient(c, x0, **({"line_search": armijo, "update": polak_ribiere} | k)), "newton-cg": newton_cg, "powell": powell, "bounded": bounded, "constrained": constrained}
+
+
+def minimise(criterion: Criterion, x0, method: str = "bfgs", **k) -> np.ndarray:
+    if method not in MINIMISERS:
+        raise ValueError(f"no method {method!r}; there are {', '.join(MINIMISERS)}")
+    return MINIMISERS[method](criterion, x0, **k)
+
+
 def double_loop(model, data, prior, sigma: float = 1.0, tau: float = 1.0, outer: int = 5, lanczos: int = 300, z0: float = 0.05, inner: int = 200, tol: float = 1e-6) -> np.ndarray:
     """Sparse Bayesian inference: the outer loop approximates posterior variances of prior x by Lanczos, the
     inner one minimises |model x - data|² / sigma² + 2 tau sum sqrt((prior x)² / sigma² + z) by reweighted systems
@@ -269,3 +458,38 @@ def double_loop(model, data, prior, sigma: float = 1.0, tau: float = 1.0, outer:
         v = np.stack([p(c) for c in e.eigenvectors.T])
         z = np.maximum(((v**2).T @ (1 / np.maximum(e.eigenvalues, 1e-12))), 1e-12)
     return x
+
+
+def double_loop_field(model, data: Field, prior, n: int, sigma: float = 1.0, tau: float = 1.0, outer: int = 3, lanczos: int = 30, z0: float = 0.05, inner: int = 20, tol: float = 1e-4) -> Field:
+    """``double_loop`` on fields: systems by ``pcg`` and variances by ``lanczos_field``, each on frames; x and z are
+    written once a round."""
+    m, p, c = asoperator(model), asoperator(prior), F.col
+    spark = data.df.sparkSession
+    right = m.T(data)
+    right = Field(written(Field(right.df, n, dense=False).densified().df.select("i", "v")), n)
+    x = Field(spark.range(n).select(c("id").alias("i"), F.lit(0.0).alias("v")), n)
+    z = None
+    for _ in range(outer):
+        for _ in range(inner):
+            gap = p(x).densified().df.select("i", c("v").alias("g"))
+            gap = gap.withColumn("z", F.lit(z0)) if z is None else gap.join(z, "i")
+            weights = written(gap.select("i", (tau / F.sqrt(F.pow(c("g") / sigma, F.lit(2.0)) + c("z"))).alias("w")))
+            a = m.T * m + p.T * asoperator_diagonal(weights) * p
+            new = Field(written(pcg(a, right, x0=x, tol=1e-8)["x"].df), n)
+            change = accumulated(x, new, "subtract")
+            moved, size = Norm2()(change) ** 0.5, Norm2()(new) ** 0.5
+            x = new
+            if moved <= tol * size:
+                break
+        start = Field(spark.range(n).select(c("id").alias("i"), F.rand(7).alias("v")), n)
+        values, vectors = lanczos_field(a, Field(written(start.df), n), min(lanczos, n))
+        lengths = F.lit([max(float(v), 1e-12) for v in values])
+        z = p(vectors()).df.groupBy("i").agg(F.greatest(F.sum(c("v") * c("v") / F.get(lengths, c("k").cast("int"))), F.lit(1e-12)).alias("z"))
+        z = written(z)
+    return x
+
+
+def asoperator_diagonal(weights):
+    from opweave.operators.diagonal import DiagonalOperator
+
+    return DiagonalOperator(weights)

@@ -2,22 +2,24 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opweave.expr import Addition, Composition, Field, Operator, asoperator
+from opweave import I, O, X
+from opweave.expr import Addition, Composition, DeletedOperator, Field, Operator, Variable, asoperator, asoperator1d, multiply
+from opweave.operators.axes import AxisOperator
 from opweave.operators.block import BlockColumnOperator, BlockDiagonalOperator, BlockRowOperator, BlockSliceOperator, proxy_group, split
 from opweave.operators.coords import CONVENTIONS, Cartesian2SphericalOperator, Spherical2CartesianOperator
-from opweave.operators.dense import DenseBlockDiagonalOperator, DenseOperator, Rotation2dOperator, Rotation3dOperator
+from opweave.operators.dense import DenseBlockDiagonalOperator, DenseOperator, Rotation2dOperator, Rotation3dOperator, dense
 from opweave.operators.diagonal import ConstantOperator, DiagonalOperator, HomothetyOperator, IdentityOperator, MaskOperator, PackOperator, UnpackOperator, ZeroOperator
 from opweave.operators.elementwise import ClipOperator, HardThresholdingOperator, NumexprOperator, PowerOperator, ReciprocalOperator, RoundOperator, SoftThresholdingOperator, SqrtOperator, SquareOperator, To1dOperator, ToNdOperator
-from opweave.operators.reduce import MinMaxOperator, MinOperator, ProductOperator
+from opweave.operators.reduce import MaxOperator, MinMaxOperator, MinOperator, ProductOperator, ReductionOperator
 from opweave.operators.sparse import BandOperator, DifferenceOperator, EigendecompositionOperator, IntegrationTrapezeOperator, LowerTriangularOperator, SparseOperator, SumOperator, SymmetricBandOperator, SymmetricBandToeplitzOperator, TridiagonalOperator
-from opweave.operators.transform import ConvolutionNdOperator, ConvolutionOperator, FFTNdOperator, FFTOperator, Wavelet2dOperator, WaveletOperator, scaling_filter
+from opweave.operators.transform import ConvolutionNdOperator, ConvolutionOperator, FFTNdOperator, FFTOperator, InverseFFT, Wavelet2dOperator, WaveletOperator, scaling_filter
 from opweave.rules import rule_manager
 from opweave.solvers.cg import LanczosAlgorithm, pcg
-from opweave.solvers.core import IterativeAlgorithm
-from opweave.solvers.criteria import Huber, Norm2, acg, bfgs, double_loop, hacg, quadratic_criterion
+from opweave.solvers.core import IterativeAlgorithm, error_within, steps_done
+from opweave.solvers.criteria import Huber, Norm2, acg, bfgs, conjugate_gradient_field, double_loop, double_loop_field, hacg, minimise, quadratic_criterion
 
 MATRICES = [
-    SparseOperator([[1, 0, 2, 0], [0, 0, 3, 0], [4, 5, 6, 0], [1, 0, 0, 1]]),
+    SparseOperator([[0, 7, 0, 0], [2, 0, 0, -1], [0, 0, 0, 0], [0, 3, 5, 0], [8, 0, 0, 4]]),
     DenseOperator(np.arange(12).reshape(3, 4)),
     DifferenceOperator(5),
     TridiagonalOperator([1, 2, 3], [4, 5], [6, 7]),
@@ -66,9 +68,10 @@ def test_elementwise(spark, op):
 
 
 def test_rounding():
-    x = np.array([-3.5, -3, -2.6, -2.5, -2.4, 0, 0.2, 0.5, 0.9, 1, 1.5])
-    assert RoundOperator("rhtmi")(x).tolist() == [-4, -3, -3, -3, -2, 0, 0, 0, 1, 1, 1]
-    assert RoundOperator("rhtpi")(x).tolist() == [-3, -3, -3, -2, -2, 0, 0, 1, 1, 1, 2]
+    x = np.array([-7.5, -1.75, -1.25, -0.5, 0.25, 2.5, 6.0, 9.9])
+    assert RoundOperator("rhtmi")(x).tolist() == [-8, -2, -1, -1, 0, 2, 6, 10]
+    assert RoundOperator("rhtpi")(x).tolist() == [-7, -2, -1, 0, 0, 3, 6, 10]
+    assert RoundOperator("rhte")(x).tolist() == [-8, -2, -1, 0, 0, 2, 6, 10]
     with pytest.raises(ValueError):
         RoundOperator("rhs")
 
@@ -205,7 +208,7 @@ def test_keyed_fields(spark):
     df = spark.createDataFrame([(k, i, float(k + i)) for k in range(3) for i in range(8)], "k long, i long, v double")
     f = Field(df, 8, ("k",))
     x = np.array([[k + i for i in range(8)] for k in range(3)], float)
-    got = {(k, i): complex(a, b) for k, i, a, b in FFTOperator(8)(f).df.select("k", "i", "v", "im").collect()}
+    got = {(k, i): complex(a, b) for k, i, a, b in FFTOperator(8)(f).df.select("k", "i", "v.re", "v.im").collect()}
     assert np.allclose([[got[k, i] for i in range(8)] for k in range(3)], np.fft.fft(x))
     blocks = DenseBlockDiagonalOperator(np.arange(16).reshape(2, 1, 8))
     got = {(k, b): v for k, b, v in blocks(f).df.select("k", "block", "v").collect()}
@@ -249,13 +252,22 @@ def test_solvers(spark):
 
 
 def test_recursion():
-    class Fibonacci(IterativeAlgorithm):
+    class Padovan(IterativeAlgorithm):
+        """Three steps back: x = x_old2 + x_old3."""
+
         def iteration(self):
-            self.x = self.x_old + self.x_old2
+            self.x = self.x_old2 + self.x_old3
 
-    f = Fibonacci(x_old2=0, x_old=1)
-    values = [f.next().x for _ in range(9)]
-    assert values[-1] == 55
+    p = Padovan(limit=steps_done(12), x_old3=1, x_old2=1, x_old=1)
+    assert [p.next().x for _ in range(7)] == [2, 2, 3, 4, 5, 7, 9]
+    assert p.cont(2) == 16 and not p.ended
+    p.cont()
+    assert p.ended and not p.success and p.niterations == 12 and "12" in p.message
+    with pytest.raises(RuntimeError):
+        p.run()
+    assert p.restart(1) == 2
+    either = error_within(1e-3) | steps_done(4)
+    assert "0.001" in repr(either) and "4" in repr(either)
 
 
 def test_proxies_and_split():
@@ -280,3 +292,212 @@ def test_double_loop_beyond_30_unknowns():
             x = np.linalg.solve(h, a.T @ d)
         z = np.diag(np.linalg.inv(h))
     assert np.allclose(double_loop(DenseOperator(a), d, IdentityOperator(n)), x, atol=1e-3)
+
+
+def complex_array(f, n):
+    out = np.zeros(n, complex)
+    for i, re, im in f.df.select("i", "v.re", "v.im").collect():
+        out[i] += complex(re, im)
+    return out
+
+
+COMPLEX = [
+    DenseOperator(np.array([[1, 1j, 0], [2, 2 - 1j, 3]])),
+    SparseOperator(np.array([[0, 1j, 0], [2, 0, 3 - 2j]])),
+    TridiagonalOperator([1, 2j, 3], [4j, 5]),
+    BandOperator(np.arange(9).reshape(3, 3) * (1 + 1j), 1, 1),
+    HomothetyOperator(2 - 1j),
+    DiagonalOperator(np.array([1, 1j, 2 - 1j])),
+    DiagonalOperator(np.array([1, 1j, 2 - 1j])) + IdentityOperator(3),
+    multiply(DiagonalOperator(np.array([1, 1j, 2 - 1j])), IdentityOperator(3)),
+    ConvolutionOperator([1j, 2, 1 - 1j], 3),
+    ConvolutionNdOperator(np.array([[1j, 2, 1 - 1j]]), (1, 3)),
+    BlockDiagonalOperator([HomothetyOperator(1j, 2), IdentityOperator(1)]),
+    BlockColumnOperator([HomothetyOperator(1j), IdentityOperator()], n=3),
+    BlockSliceOperator([HomothetyOperator(1j)], [slice(-2, None)]),
+    FFTOperator(3),
+    FFTNdOperator((3, 1), backward=True),
+    WaveletOperator("haar", 2) * DenseOperator(np.array([[1, 1j, 0], [2, 2 - 1j, 3]])),
+]
+
+
+@pytest.mark.parametrize("op", COMPLEX, ids=repr)
+def test_complex_fields(spark, op):
+    """Real and complex vectors through complex operators, as on arrays; and the adjoint."""
+    x = np.array([1.0, -2, 3])
+    n = op.shapeout or len(op(x))
+    np.testing.assert_allclose(complex_array(op(to_field(spark, x)).lifted(), n), op(x), atol=1e-9)
+    z = x + 1j * np.array([0.5, 0, -1])
+    f = Field(spark.createDataFrame([(i, (v.real, v.imag)) for i, v in enumerate(z.tolist())], "i long, v struct<re: double, im: double>"), 3)
+    np.testing.assert_allclose(complex_array(op(f), n), op(z), atol=1e-9)
+    if op.linear and op.shapein is not None:
+        np.testing.assert_allclose(op.H.todense(n), op.todense(3).conj().T, atol=1e-9)
+
+
+def test_complex_fields_are_refused(spark):
+    f = Field(spark.createDataFrame([(0, (1.0, 2.0))], "i long, v struct<re: double, im: double>"), 1)
+    for op in (ClipOperator(0, 1), MinOperator(), SqrtOperator()):
+        with pytest.raises(TypeError):
+            op(f)
+
+
+@pytest.mark.parametrize("n", [12, 97, 64])
+def test_long_transforms(spark, monkeypatch, n):
+    """In two steps, and by a chirp where the length's factors are too unequal."""
+    monkeypatch.setattr("opweave.operators.transform.MOST_AT_ONCE", 8)
+    x = np.random.default_rng(n).normal(size=n)
+    y = FFTOperator(n)(to_field(spark, x))
+    np.testing.assert_allclose(complex_array(y, n), np.fft.fft(x), atol=1e-8)
+    np.testing.assert_allclose(complex_array(InverseFFT(n)(y), n), n * x, atol=1e-7)
+
+
+@pytest.mark.parametrize("taps", [64, 65])
+def test_convolution_of_repeated_rows(spark, taps):
+    """Rows of one index count as their sum, however many taps there are."""
+    f = Field(spark.createDataFrame([("a", 0, 1.0), ("a", 0, 2.0), ("a", 5, 1.0)], "k string, i long, v double"), 80, ("k",))
+    got = to_array(ConvolutionOperator(np.arange(1.0, taps + 1), 80)(f), 80)
+    x = np.zeros(80)
+    x[0], x[5] = 3, 1
+    np.testing.assert_allclose(got, ConvolutionOperator(np.arange(1.0, taps + 1), 80)(x), atol=1e-9)
+
+
+def test_slices(spark):
+    x = np.arange(1.0, 7)
+    for s in (slice(-2, None), slice(None, None, -2), slice(5, 0, -3), slice(1, -1, 2), slice(4, 2), slice(0, 100)):
+        op = BlockSliceOperator([HomothetyOperator(3.0)], [s])
+        np.testing.assert_allclose(to_array(op(to_field(spark, x)), 6), op(x))
+    unknown = Field(to_field(spark, x).df)
+    with pytest.raises(ValueError):
+        BlockSliceOperator([HomothetyOperator(3.0)], [slice(-2, None)])(unknown)
+
+
+AXES = [
+    DifferenceOperator(shape=(3, 4), axis=0),
+    SumOperator(shape=(3, 4), axis=-1),
+    SumOperator(shape=(3, 4)),
+    WaveletOperator("db2", 4),
+    AxisOperator(ConvolutionOperator([1, 2.0], 3), (3, 4), 0),
+    AxisOperator(FFTOperator(2), (3, 2, 2), 1).H * AxisOperator(FFTOperator(2), (3, 2, 2), 1),
+]
+
+
+@pytest.mark.parametrize("op", [o for o in AXES if o.real], ids=repr)
+def test_axes(spark, op):
+    x = np.random.default_rng(1).normal(size=op.shapein)
+    np.testing.assert_allclose(to_array(op(to_field(spark, x)), op.shapeout), op(x), atol=1e-9)
+    np.testing.assert_allclose(op.T.todense(op.shapeout), op.todense().T, atol=1e-12)
+
+
+def test_reductions_along_axes(spark):
+    x = np.random.default_rng(2).normal(size=(3, 4))
+    for op, want in ((MaxOperator(shape=(3, 4), axis=0), x.max(0)), (ProductOperator(shape=(3, 4), axis=1), x.prod(1)), (MinOperator(shape=(3, 4)), [x.min()]), (ReductionOperator(np.ptp, shape=(3, 4), axis=0), np.ptp(x, axis=0))):
+        assert np.allclose(op(x.ravel()), want) and np.allclose(to_array(op(to_field(spark, x.ravel())), len(want)), want)
+    nan = np.where(x < 0, np.nan, x)
+    f = Field(spark.createDataFrame([(i, float(v)) for i, v in enumerate(nan.ravel())], "i long, v double"), 12)
+    for op, want in ((ReductionOperator(np.add, skipna=True), np.nansum(nan)), (MaxOperator(skipna=True), np.nanmax(nan)), (ProductOperator(skipna=True), np.nanprod(nan))):
+        assert np.isclose(op(nan.ravel())[0], want) and np.isclose(to_array(op(f), 1)[0], want)
+    assert np.isnan(MaxOperator()(nan.ravel())[0])
+    assert ReductionOperator(np.add, dtype="int64")(np.array([1.0, 2])).dtype == np.int64
+    with pytest.raises(TypeError):
+        ReductionOperator(np.sin)
+
+
+def test_broadcasts(spark):
+    x = np.arange(6.0)
+    for op, want in ((DiagonalOperator([1.0, 2, 3], broadcast="leftward"), x * [1, 2, 3, 1, 2, 3]), (DiagonalOperator([1.0, 2, 3], broadcast="rightward"), x * [1, 1, 2, 2, 3, 3]), (ConstantOperator([4.0, 5], broadcast="rightward"), [4, 4, 4, 5, 5, 5]), (2.0 * DiagonalOperator([1.0, 2, 3], broadcast="rightward"), x * [2, 2, 4, 4, 6, 6])):
+        assert np.allclose(op(x), want) and np.allclose(to_array(op(to_field(spark, x)), 6), want)
+    assert np.allclose(PackOperator([True, False], 6, "leftward")(x), [0, 2, 4])
+    with pytest.raises(ValueError):
+        DiagonalOperator([1.0, 2, 3, 4], broadcast="leftward")(x)
+    with pytest.raises(ValueError):
+        DiagonalOperator([1.0, 2], broadcast="upward")
+
+
+def test_new_axes():
+    a, b = DenseOperator(np.arange(6.0).reshape(2, 3)), DenseOperator(np.ones((2, 3)))
+    x = np.arange(3.0)
+    col = BlockColumnOperator([a, b], new_axis="k")
+    assert np.allclose(col(x), [a(x), b(x)])
+    assert np.allclose(col.T(col(x)), a.T(a(x)) + b.T(b(x)))
+    assert np.allclose(BlockDiagonalOperator([a, b], new_axis="k")(np.stack([x, x])), col(x))
+    assert np.allclose(BlockRowOperator([a, b], new_axis="k", operation="minimum")(np.stack([x, x])), np.minimum(a(x), b(x)))
+    assert MinMaxOperator(new_axis="k")(x).tolist() == [[0], [2]]
+
+
+def test_dense_axes():
+    data = np.arange(24.0).reshape(2, 3, 4)
+    x = np.arange(12.0)
+    assert np.allclose(dense(data, naxesin=2)(x), np.tensordot(data, x.reshape(3, 4), 2))
+    assert np.allclose(dense(data, naxesextra=1)(np.arange(4.0)), data @ np.arange(4.0))
+    assert np.allclose(dense(data, naxesextra=1, broadcast="rightward")(np.arange(3.0)), np.einsum("mnb,n->bm", data, np.arange(3.0)))
+    assert isinstance(dense(3.0), HomothetyOperator)
+    with pytest.raises(ValueError):
+        dense(data, naxesin=2, naxesout=2)
+
+
+def test_coercions_and_leftovers(spark):
+    class Coo:
+        row, col, data, shape = [0, 1], [1, 0], [2.0, 3], (2, 2)
+
+        def tocoo(self):
+            return self
+
+    class Duck:
+        shape = (2, 2)
+
+        def matvec(self, x):
+            return 2 * x
+
+        rmatvec = matvec
+
+    assert asoperator(Coo())(np.array([1.0, 2])).tolist() == [4, 3]
+    assert asoperator(Duck())(np.ones((3, 2))).tolist() == [[2, 2]] * 3 and asoperator(Duck()).T(np.ones(2)).tolist() == [2, 2]
+    f = to_field(spark, [3.0, 4])
+    assert np.allclose(to_array(asoperator(lambda v: np.hypot(v, 1))(f), 2), np.hypot([3, 4], 1))
+    assert to_array(asoperator(lambda v: v * 2 + 1)(f), 2).tolist() == [7, 9]
+    assert SquareOperator()(np.array([2.0]), out=np.array([1.0]), operation="subtract").tolist() == [-3]
+    assert repr(2 * Variable("y") + X) == "((2 * y) + X)" and repr(X.T) == "X.T"
+    assert isinstance(I, IdentityOperator) and isinstance(O, ZeroOperator)
+    d = DenseOperator(np.eye(2))
+    e = d.copy()
+    d.delete()
+    assert isinstance(d, DeletedOperator) and e(np.ones(2)).tolist() == [1, 1]
+    with pytest.raises(RuntimeError):
+        d(np.ones(2))
+    w = asoperator1d(Wavelet2dOperator("haar", (2, 2)))
+    assert np.allclose(w.T(w(np.arange(4.0))), np.arange(4))
+    c = Operator(lambda x: 1j * x, linear=True, real=False)
+    assert c.C(np.array([2.0]))[0] == -2j
+
+
+def test_unpack_by_condition(spark):
+    df = spark.createDataFrame([(k, i, float(10 * k + i), (i + k) % 3) for k in range(2) for i in range(5)], "k long, i long, v double, m int")
+    packed = PackOperator("m = 0")(Field(df, 5, ("k",)))
+    back = UnpackOperator("m = 0", 5, df)(Field(packed.df.select("k", "i", "v"), None, ("k",))).df
+    assert sorted(map(tuple, back.select("k", "i", "v").collect())) == sorted((r.k, r.i, r.v) for r in df.where("m = 0").collect())
+    with pytest.raises(ValueError):
+        UnpackOperator("m = 0")(packed)
+
+
+def test_minimisers(spark):
+    m = DenseOperator(np.vstack([np.diag([1.0, 2, 3, 4]), np.ones((1, 4))]))
+    d = m(np.array([1.0, -1, 0.5, 2]))
+    c = quadratic_criterion(m, d)
+    for method in ("bfgs", "cg", "newton-cg", "powell", "bounded"):
+        assert np.allclose(minimise(c, np.zeros(4), method), [1, -1, 0.5, 2], atol=1e-4), method
+    low = minimise(c, np.zeros(4), "bounded", low=0.0)
+    assert low.min() == 0 and c(low) <= c(np.maximum([1, -1, 0.5, 2], 0)) + 1e-9
+    tied = minimise(c, np.zeros(4), "constrained", equal=(lambda x: x[0] - x[1],), tol=1e-6)
+    assert abs(tied[0] - tied[1]) < 1e-5
+    with pytest.raises(ValueError):
+        minimise(c, np.zeros(4), "guess")
+    x = conjugate_gradient_field(quadratic_criterion(m, to_field(spark, d)), to_field(spark, np.zeros(4)), tol=1e-9)
+    assert np.allclose(to_array(x, 4), [1, -1, 0.5, 2], atol=1e-5)
+
+
+def test_double_loop_on_fields(spark):
+    a = np.random.default_rng(8).normal(size=(6, 4))
+    d = a @ np.array([0, 3.0, 0, 1])
+    want = double_loop(DenseOperator(a), d, IdentityOperator(4), outer=2)
+    got = double_loop_field(DenseOperator(a), to_field(spark, d), IdentityOperator(4), 4, outer=2, inner=20, tol=1e-4)
+    assert np.allclose(to_array(got, 4), want, atol=1e-2)
