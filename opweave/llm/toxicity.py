@@ -1,20 +1,23 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A token that looks disguised (digits or signs among letters, letters apart, a letter three times or
-more) is read as a lattice: each of its characters may stand for itself, for letters it resembles, or,
-for separators and repetitions, for nothing. Viterbi decoding takes the path that is likeliest under the
-channel and a character trigram model of the corpus. The restored text is scored: words and character
-5-grams have weights, log odds of toxic against clean documents, and a logistic regression on a
-document's largest weights gives its score.
-
-Learning: labelled documents alone, at most about ``TRAIN_DOCS`` of them (a bounded sample, the smallest
-hashes of doc_id), half of them for the weights and the character model, half for the regression.
+A token is read as a lattice: each of its characters may stand for itself, for letters it resembles, or, for
+separators and repetitions, for nothing. Viterbi decoding takes the path that is likeliest under the channel and
+a character trigram model of the corpus. A token with one path only needs no decoding; of the others, the token as
+it stands and its likeliest path are both scored, and the one with more weight counts. Letters spaced out are one
+token; where the first may be a word of its own (a, i), it is tried without as well. Words and character 5-grams
+have weights, log odds of toxic against clean documents, and a logistic regression on a document's largest
+weights gives its score.
+
+Learning: the character model counts the trigrams of all words of all documents, whether labelled or not; letters
+beyond Latin are one class to it, so that its table is bounded by its alphabet. Weights and regression are fitted
+on labelled documents, at most about ``TRAIN_DOCS`` of them (a bounded sample, the smallest hashes of doc_id), one
+half for the weights, one for the regression; the lexicon keeps every entry that the sample supports.
 Labels, lang, source and doc_id are never inputs of a score.
 
-Edge cases: a null or empty text has no words and gets the score of a text without toxic words; a doc_id
-with several labels counts as toxic if one says so; labels that are null or whose document is missing are
-left out; without any label of a kind, every score is that kind's prior; repeated rows give repeated
-results; an empty table gives no rows; other columns are ignored.
+Edge cases: a null or empty text has no words and gets the score of a text without toxic words; a token of any
+length is decoded whole; a doc_id with several labels counts as toxic if one says so; labels that are null or
+whose document is missing are left out; without any label of a kind, every score is that kind's prior; repeated
+rows give repeated results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import math
 import re
 from collections import Counter
 from itertools import groupby
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -32,84 +36,128 @@ from pyspark.sql import functions as F
 from opweave.session import table
 
 TRAIN_DOCS, GRAM = 20_000, 5
-#: Lexicon entries: met in this many toxic documents at least, and in this ratio; the most that are kept.
-LEAST, RATIO, MOST = 3, 4.0, 20_000
+#: Lexicon entries: met in this many toxic documents at least, and in this ratio.
+LEAST, RATIO = 3, 4.0
 #: Letters that a character may stand for besides itself.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 GAPS = set(".-_*~^'`,:;/\\ ")
 _EDGE = ".,;:?\"'#%&*()[]{}<>=~^`-_/\\|!$+"
-_NOISY = re.compile(r"[^\W\d_][\d@$!|+(€£¡]|[\d@$!|+(€£¡][^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*~^'`,:;/\\]+[^\W\d_][.\-_*~^'`,:;/\\]")
+#: Tokens whose lattice has more than one path that can matter: they hold a letter, and a look-alike, a gap
+#: between letters, or a letter twice.
+_LETTER = re.compile(r"[^\W\d_]")
+_SEVERAL = re.compile(r"[\d@$!|+(€£¡]|[^\W\d_][.\-_*~^'`,:;/\\]+[^\W\d_]|([^\W\d_])\1")
+_TRIPLE = re.compile(r"(.)\1\1")
 #: Log10 probabilities of the channel: a look-alike, a dropped gap or repetition.
-LOOK_COST, DROP_COST, LONGEST = -0.4, -0.2, 64
+LOOK_COST, DROP_COST = -0.4, -0.2
+#: Letters below this code point count one by one in the character model, all others as one.
+LATIN, OTHER = 0x250, "\uffff"
+#: Tokens whose readings a worker keeps, and characters between two looks at what all paths share.
+KEPT, SHARED_EVERY = 300_000, 64
+
+
+def _letter(c: str) -> str:
+    return c if ord(c) < LATIN else OTHER
+
+
+def trigrams(words: dict[str, int], into: Counter) -> Counter:
+    """Adds the character trigrams of counted words; ``^`` begins and ``$`` ends a word."""
+    for w, n in words.items():
+        s = f"^^{''.join(map(_letter, w))}$"
+        for i in range(2, len(s)):
+            into[s[i - 2 : i + 1]] += n
+    return into
 
 
 class CharModel:
-    """Character trigrams with backed-off additive smoothing, in log10; ``^`` begins and ``$`` ends a word."""
-
-    def __init__(self, words: dict[str, int]):
-        tri, bi, uni = Counter(), Counter(), Counter()
-        for w, n in words.items():
-            s = f"^^{w}$"
-            for i in range(2, len(s)):
-                tri[s[i - 2 : i + 1]] += n
-                bi[s[i - 2 : i]] += n
-                uni[s[i]] += n
-        self.bi, self.tri, self.uni, self.all = dict(bi), dict(tri), dict(uni), sum(uni.values()) + 1
+    """Character trigrams with backed-off additive smoothing, in log10."""
+
+    def __init__(self, tri: dict[str, int]):
+        bi, uni = Counter(), Counter()
+        for t, n in tri.items():
+            bi[t[:2]] += n
+            uni[t[2]] += n
+        self.tri, self.bi, self.uni, self.all = dict(tri), dict(bi), dict(uni), sum(uni.values()) + 1
         self.known: dict[str, float] = {}
 
     def __call__(self, three: str) -> float:
         p = self.known.get(three)
         if p is None:
-            u = (self.uni.get(three[2], 0) + 1) / (self.all + 200)
-            p = self.known[three] = math.log10((self.tri.get(three, 0) + 2 * u) / (self.bi.get(three[:2], 0) + 2))
+            t = "".join(map(_letter, three))
+            u = (self.uni.get(t[2], 0) + 1) / (self.all + 200)
+            p = math.log10((self.tri.get(t, 0) + 2 * u) / (self.bi.get(t[:2], 0) + 2))
             if len(self.known) > 500_000:
                 self.known.clear()
+            self.known[three] = p
         return p
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The likeliest word behind a token; a token longer than LONGEST is decoded in pieces."""
-    if len(token) > LONGEST:
-        return "".join(decode(token[i : i + LONGEST], model) for i in range(0, len(token), LONGEST))
+def decoded(token: str, model: CharModel) -> tuple[float, str]:
+    """The log10 probability and the word of the token's likeliest path."""
     states = {("^^", ""): (0.0, "")}  # last two letters and last character read -> score, word
-    for c in token:
+    done: list[str] = []  # what every path begins with
+    known = model.known.get
+    for k, c in enumerate(token):
         nxt: dict = {}
-
-        def offer(state, score, word):
-            if state not in nxt or score > nxt[state][0]:
-                nxt[state] = (score, word)
-
+        looks, gap = LOOKS.get(c, ""), c in GAPS
         for (two, last), (score, word) in states.items():
-            for letter, cost in ((c, 0.0), *((x, LOOK_COST) for x in LOOKS.get(c, ""))):
-                offer((two[1] + letter, c), score + cost + model(two + letter), word + letter)
-            if c in GAPS or (c == last and word):
-                offer((two, c), score + DROP_COST, word)
+            p = known(two + c)
+            state, new = (two[1] + c, c), score + (model(two + c) if p is None else p)
+            if state not in nxt or new > nxt[state][0]:
+                nxt[state] = (new, word + c)
+            for letter in looks:
+                state, new = (two[1] + letter, c), score + LOOK_COST + model(two + letter)
+                if state not in nxt or new > nxt[state][0]:
+                    nxt[state] = (new, word + letter)
+            if gap or c == last:
+                state, new = (two, c), score + DROP_COST
+                if state not in nxt or new > nxt[state][0]:
+                    nxt[state] = (new, word)
         states = nxt
-    return max(((s + model(two + "$"), w) for (two, _), (s, w) in states.items()), default=(0.0, token))[1]
+        if k % SHARED_EVERY == SHARED_EVERY - 1 and (n := len(commonprefix([w for _, w in states.values()]))):
+            done.append(next(iter(states.values()))[1][:n])
+            states = {s: (x, w[n:]) for s, (x, w) in states.items()}
+    score, word = max((s + model(two + "$"), w) for (two, _), (s, w) in states.items())
+    return score, "".join([*done, word])
+
+
+def decode(token: str, model: CharModel) -> str:
+    """The likeliest word behind a token."""
+    return decoded(token, model)[1]
+
+
+def readings(token: str, model: CharModel) -> tuple[str, ...]:
+    """A token's words: as it stands, without the marks at its ends, and its likeliest path if there are several."""
+    w = token.strip(_EDGE)
+    if _LETTER.search(token) and _SEVERAL.search(token):
+        other = decode(token.strip(" ,.;:?\"'()[]{}"), model).strip(_EDGE)
+        return tuple(dict.fromkeys(x for x in (w, other) if x))
+    return (w,) if w else ()
+
+
+def tokens(text: str) -> set[str]:
+    """Distinct lower-case tokens of a text, and runs of three and more letters apart as tokens of their own."""
+    every = text.lower().split()
+    out = set(every)
+    if any(len(t) == 1 for t in out):
+        stripped = [t.strip(_EDGE) or t for t in every]
+        for ok, run in groupby(stripped, lambda t: len(t) == 1):
+            if ok and len(word := "".join(run)) >= 3:
+                out.add(word)
+                if word[0] in "ai" and len(word) > 3:
+                    out.add(word[1:])
+    return out
 
 
 def restored(text: str, model: CharModel, cache: dict) -> set[str]:
-    """Distinct lower-case words of a text, disguises undone; runs of single letters are one word."""
-    tokens = text.lower().split()
-    out, single = set(tokens), set()
-    if len(out) and any(len(t) == 1 for t in out):
-        stripped = [t.strip(_EDGE) or t for t in tokens]
-        runs = ("".join(run) for ok, run in groupby(stripped, lambda t: len(t) == 1) if ok)
-        single = {" " + s for s in runs if len(s) >= 3}  # marked by a blank, which no token holds
-    words = set()
-    for t in (*out, *single):
-        w = cache.get(t)
-        if w is None:
-            w = t.strip(_EDGE)
-            if _NOISY.search(t):
-                w = decode(t.strip(" ,.;:?\"'()[]{}"), model).strip(_EDGE)
-            elif t[0] == " ":
-                w = decode(t[1:], model).strip(_EDGE)
-            if len(cache) > 300_000:
+    """All readings of a text's tokens; cache holds those of tokens met before."""
+    words: set[str] = set()
+    for t in tokens(text):
+        got = cache.get(t)
+        if got is None:
+            if len(cache) > KEPT:
                 cache.clear()
-            cache[t] = w
-        if w:
-            words.add(w)
+            got = cache[t] = readings(t, model)
+        words.update(got)
     return words
 
 
@@ -120,20 +168,24 @@ def grams(word: str) -> set[str]:
 
 class Scorer:
     def __init__(self, weights: dict[str, float], model: CharModel, beta: np.ndarray):
-        self.weights, self.model, self.beta, self.cache, self.best = weights, model, beta, {}, {}
+        self.weights, self.model, self.beta, self.best = weights, model, beta, {}
+
+    def _weighed(self, token: str) -> tuple[float, str]:
+        """The largest weight of a token's readings, and the reading."""
+        return max(((max((self.weights.get(g, 0.0) for g in grams(w)), default=0.0), w) for w in readings(token, self.model)), default=(0.0, ""))
 
     def features(self, text: str) -> tuple[float, ...]:
         """Intercept; largest and second largest weight of a word; how many words have weight, damped."""
-        top: list[float] = []
-        for w in restored(text, self.model, self.cache):
-            x = self.best.get(w)
+        found: dict[str, float] = {}
+        for t in tokens(text):
+            x = self.best.get(t)
             if x is None:
-                if len(self.best) > 300_000:
+                if len(self.best) > KEPT:
                     self.best.clear()
-                x = self.best[w] = max((self.weights.get(g, 0.0) for g in grams(w)), default=0.0)
-            if x:
-                top.append(x)
-        top.sort(reverse=True)
+                x = self.best[t] = self._weighed(t)
+            if x[0]:
+                found[x[1]] = x[0]
+        top = sorted(found.values(), reverse=True)
         return 1.0, top[0] if top else 0.0, top[1] if len(top) > 1 else 0.0, math.log1p(sum(x > 5 for x in top))
 
     def __call__(self, text: str) -> float:
@@ -151,6 +203,32 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3) -> np.ndarray:
     return beta
 
 
+def corpus_trigrams(docs: DataFrame) -> dict[str, int]:
+    """Character trigrams of the words of all docs(text), counted in each task first; words in disguise (with
+    other signs than letters, or a letter three times) are left out."""
+
+    def count(batches):
+        words, out = Counter(), Counter()
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                words.update((text or "").lower().split())
+                if len(words) > KEPT:
+                    fold(words, out)
+        fold(words, out)
+        yield pa.record_batch([pa.array(out, pa.string()), pa.array(out.values(), pa.int64())], ["g", "n"])
+
+    def fold(words: Counter, out: Counter) -> None:
+        plain = Counter()
+        for t, n in words.items():
+            if (w := t.strip(_EDGE)).isalpha() and not _TRIPLE.search(w):
+                plain[w] += n
+        trigrams(plain, out)
+        words.clear()
+
+    rows = docs.select("text").mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()  # bounded by the alphabet
+    return {r["g"]: r["n"] for r in sorted(rows)}
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     """docs(doc_id, text) and labels(doc_id, toxic)."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -162,26 +240,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(small), "doc_id")
 
     def count(batches):
-        sides = (Counter(), Counter())
-        words, n = Counter(), [0, 0]
+        sides, n = (Counter(), Counter()), [0, 0]
         for batch in batches:
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
                 own = {t.strip(_EDGE) for t in (text or "").lower().split()}
                 n[toxic] += 1
-                words.update(w for w in own if w.isalpha())
                 sides[toxic].update({g for w in own if w for g in grams(w)})
-        out = [("g", g, sides[1][g], sides[0][g]) for g in {*sides[0], *sides[1]}] + [("w", w, k, 0) for w, k in words.items()] + [("n", "", n[1], n[0])]
+        out = [("g", g, sides[1][g], sides[0][g]) for g in {*sides[0], *sides[1]}] + [("n", "", n[1], n[0])]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["kind", "g", "t", "c"])
 
     counted = texts.where("half = 0").select("text", "toxic").mapInArrow(count, "kind string, g string, t long, c long").groupBy("kind", "g").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    kept = counted.where(f"(kind = 'g' and t >= {LEAST}) or (kind = 'w' and t >= 2) or kind = 'n'").persist()
+    kept = counted.where(f"(kind = 'g' and t >= {LEAST}) or kind = 'n'").persist()
     total = kept.where("kind = 'n'").first()
     nt, nc = (total["t"], total["c"]) if total else (0, 0)
     odds = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
-    lexicon = kept.where("kind = 'g'").withColumn("w", odds).where(F.col("w") >= math.log(RATIO)).orderBy(F.desc(F.col("w") * F.log("t")), "g").limit(MOST)
+    lexicon = kept.where("kind = 'g'").withColumn("w", odds).where(F.col("w") >= math.log(RATIO))  # of the sample, so bounded with it
     weights = {r["g"]: r["w"] for r in lexicon.select("g", "w").collect()} if nt and nc else {}
-    model = CharModel({r["g"]: r["t"] for r in kept.where("kind = 'w'").orderBy(F.desc("t"), "g").limit(50_000).collect()})
     kept.unpersist()
+    model = CharModel(corpus_trigrams(docs))
     blank = Scorer(weights, model, np.zeros(4))
 
     def featured(batches):
@@ -200,10 +276,10 @@ def scored(docs: DataFrame, scorer: Scorer, name: str = "toxic_score") -> DataFr
     """Every column of docs, and the score under a name that docs doesn't have."""
     names = docs.columns
     at = names.index("text")
-    kept = scorer.weights, scorer.model, scorer.beta
+    kept = scorer.weights, scorer.model.tri, scorer.beta
 
     def score(batches):
-        own = Scorer(*kept)
+        own = Scorer(kept[0], CharModel(kept[1]), kept[2])
         for batch in batches:
             yield pa.record_batch([*batch.columns, pa.array([own(t or "") for t in batch.column(at).to_pylist()], pa.float64())], names=[*names, name])
 

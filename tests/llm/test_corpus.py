@@ -263,10 +263,46 @@ def test_toxicity(spark):
     fresh = toxicity.restored(plain_word, scorer.model, {})
     cache: dict = {}
     toxicity.restored(spaced, scorer.model, cache)
-    assert toxicity.restored(plain_word, scorer.model, cache) == fresh == {"hello"}
+    assert toxicity.restored(plain_word, scorer.model, cache) == fresh and "hello" in fresh
+    # single separators and doubled letters, letters apart behind a one-letter word, a disguise of any length
+    for t in ("gro-bnik", "grobbnik", "fl_atzer", "a s n o r v e l", "=snorvel", "." * 63 + "gr0bnik" + "-" * 70):
+        assert scorer(t) >= 0.5, t
+    for t in ("river-stone", "a h o u s e", "alpha beta gamma " * 5, "2024-11-26 10:30", "x" * 200_000, "ab!-" * 50_000):
+        assert scorer(t) < 0.5, t[:20]
     assert toxicity.restored(" xx ".join(" ".join(f"{i:05d}") for i in range(20_000)), scorer.model, {})  # many runs of letters apart
 
 
+def every_reading(token, model, two="^^", last="", cost=0.0, word=""):
+    """All paths of a token's lattice, by recursion."""
+    if not token:
+        return [(cost + model(two + "$"), word)]
+    c, out = token[0], []
+    for letter, price in [(c, 0.0), *((x, toxicity.LOOK_COST) for x in toxicity.LOOKS.get(c, ""))]:
+        out += every_reading(token[1:], model, two[1] + letter, c, cost + price + model(two + letter), word + letter)
+    if c in toxicity.GAPS or c == last:
+        out += every_reading(token[1:], model, two, c, cost + toxicity.DROP_COST, word)
+    return out
+
+
+def test_decoding_is_exact(monkeypatch):
+    rnd = random.Random(8)
+    model = toxicity.CharModel(toxicity.trigrams({"hello": 9, "illness": 4, "table": 7, "stable": 3, "éclair": 1, "слово": 2}, Counter()))
+    for every in (64, 3):
+        monkeypatch.setattr(toxicity, "SHARED_EVERY", every)
+        for _ in range(150):
+            t = "".join(rnd.choice("hheelllo01!|t4b1e-._$5é") for _ in range(rnd.randint(1, 9)))
+            paths = every_reading(t, model)
+            score, word = toxicity.decoded(t, model)
+            assert math.isclose(score, max(paths)[0]) and any(w == word and math.isclose(s, score) for s, w in paths)
+
+
+def test_char_model_covers_all_documents(spark):
+    """Documents without labels, of any script, are counted; disguised words aren't."""
+    docs = spark.createDataFrame([(1, "Abba, abba!"), (2, None), (3, "слово h3llo sooo"), (None, "ab")], "doc_id long, text string").repartition(3)
+    want = toxicity.trigrams({"abba": 2, "слово": 1, "ab": 1}, Counter())
+    assert toxicity.corpus_trigrams(docs) == dict(want)
+
+
 def test_pieces(docs, data, empty):
     v = pieces.Vocabulary.of_file()
     e = pieces.Encoder(v)
