@@ -1,33 +1,11 @@
-"""Shared folder, cut lineage and connected components."""
+"""Segments of documents and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is named (tests), a temporary one."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(sc, "_opweave_shared", None) or tempfile.mkdtemp(prefix="opweave-")
-        sc._opweave_shared = found
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from Parquet in the shared folder; the lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared(spark)}/{uuid.uuid4().hex}.parquet"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+from opweave.session import shared, written  # noqa: F401
 
 
 def parts(df: DataFrame, rows_each: int) -> int:
@@ -35,16 +13,27 @@ def parts(df: DataFrame, rows_each: int) -> int:
     return max(1, -(-df.count() // rows_each))
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def segments(docs: DataFrame, bytes_each: int) -> int:
+    """How many segments of about ``bytes_each`` bytes of text the documents make, at least one."""
+    return max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bytes_each))
+
+
+def segment(count: int):
+    """A row's segment, from doc_id and text: neither null or repeated ids nor long texts gather in one."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(count))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges (u, v) reach; nodes without edges don't appear.
 
-    Alternating large-star and small-star steps; each round is checkpointed, so that a lost executor
-    costs one round. A hot node's rows meet in joins only, which AQE can split.
+    Alternating large-star and small-star steps until nothing changes, which takes rounds in the order of the
+    logarithm of the longest path; each round is checkpointed, so that a lost executor costs one round. A hot
+    node's rows meet in joins only, which AQE can split.
     """
     shared(edges.sparkSession)
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -55,7 +44,5 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     low = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return low.unionByName(low.select(F.col("component").alias("node"), "component").distinct())

@@ -15,7 +15,8 @@ doc_id. Strings are compared in shards, each with a suffix array of its own:
    then of arrival, and go to disk beyond ``RAM`` bytes. Suffixes that share ``length`` bytes are then
    neighbours; the least doc_id of each such group goes back to the segments.
 
-Documents that repeat a smaller one whole (equal lengths and two 64-bit hashes) are settled in step 2.
+Documents that repeat a smaller one whole (equal lengths and 128-bit hashes) are settled in step 2, and strings
+are told apart by the same.
 
 Edge cases: a null text is empty; texts of under ``length`` bytes keep all; rows with one doc_id don't
 remove from each other; a null doc_id counts as larger than any; an empty table gives no rows; other
@@ -33,11 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opweave.llm._spark import parts
+from opweave.llm._spark import segment, segments
 from opweave.llm._text import mix, prefix, slices, spans, utf8
 from opweave.session import table
 
-LENGTH, K, SEGMENT_DOCS = 50, 20, 2000
+LENGTH, K = 50, 20
+#: Bytes of text in a segment.
+SEGMENT_BYTES = 4 << 20
 #: Bytes of queued suffixes that a sorter holds in memory.
 RAM = 256 << 20
 NOBODY = np.int64(2**63 - 1)
@@ -220,11 +223,38 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int):
     return [np.concatenate(o) if o else np.zeros(0, k) for o, k in zip(out, kinds)]
 
 
-def _slots(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of keys by bucket and value, and the cuts between buckets."""
+def _slots(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of keys by bucket and value, and the buckets that have any, with their ranges of it: a segment sends
+    no more messages than it has keys."""
     home = (mix(keys) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((keys, home))
-    return order, np.searchsorted(home[order], np.arange(buckets + 1))
+    return order, _ranges(home[order])
+
+
+def _ranges(home: np.ndarray) -> list[tuple[int, int, int]]:
+    cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, np.int64)
+    return list(zip(home[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(home)]))
+
+
+#: 128 bits of a hash, and a length.
+NAME = np.dtype([("high", "u8"), ("low", "u8"), ("n", "i8")])
+
+
+def named(data: np.ndarray, starts, ends) -> np.ndarray:
+    """128-bit hashes, with lengths, of spans of the data."""
+    out = np.empty(len(starts), NAME)
+    raw = b"".join([xxhash.xxh3_128_digest(data[i:j].data) for i, j in zip(starts, ends)])
+    both = np.frombuffer(raw, ">u8").reshape(-1, 2)
+    out["high"], out["low"], out["n"] = both[:, 0], both[:, 1], np.asarray(ends) - np.asarray(starts)
+    return out
+
+
+def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of the distinct names, in order of their first 64 bits, and the inverse."""
+    _, one, back = np.unique(names["high"], return_index=True, return_inverse=True)
+    if (names[one][back] != names).any():  # 64 bits don't tell them apart: the whole names do
+        _, one, back = np.unique(names, return_index=True, return_inverse=True)
+    return one, back
 
 
 _DDL = "bucket long, seg long, kind int, a binary, b binary, c binary"
@@ -255,10 +285,10 @@ class _Segment:
         np.maximum.at(high, self.key_of, own)
         self.several = low < high
         cut = self.offsets.tolist()
-        whole = [xxhash.xxh3_128_intdigest(self.data[i:j].data) ^ (j - i) for i, j in zip(cut, cut[1:])]
-        self.whole = np.array([(x >> 64) & (2**64 - 1) ^ (x & (2**63 - 1)) * 3 & (2**64 - 1) for x in whole], np.uint64)
-        self.texts, self.text_of = np.unique(self.whole, return_inverse=True)
-        self.text_order, self.text_cuts = _slots(self.texts, buckets)
+        whole = named(self.data, cut[:-1], cut[1:])
+        one, self.text_of = distinct(whole)
+        self.texts = whole[one]
+        self.text_order, self.text_cuts = _slots(self.texts["high"], buckets)
         self.text_low = np.full(len(self.texts), NOBODY)
         np.minimum.at(self.text_low, self.text_of, self.ids)
 
@@ -267,42 +297,40 @@ class _Segment:
         copies = text_low[self.text_of] < self.ids
         runs = np.flatnonzero(shared[self.key_of] & ~copies[self.doc])
         size = self.windows[runs] + length - 1
-        h = np.array([xxhash.xxh3_64_intdigest(self.data[i:j].data) for i, j in zip(self.starts[runs].tolist(), (self.starts[runs] + size).tolist())], np.uint64)
-        home = (mix(self.keys[self.key_of[runs]]) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((h, home))
-        fresh = np.r_[True, (np.diff(h[order].view(np.int64)) != 0) | (np.diff(home[order]) != 0)] if len(order) else np.zeros(0, bool)
-        place = np.empty(len(runs), np.int64)
-        place[order] = np.cumsum(fresh) - 1
-        first = order[fresh]
+        one, of = distinct(named(self.data, self.starts[runs].tolist(), (self.starts[runs] + size).tolist()))
+        home = (mix(self.keys[self.key_of[runs[one]]]) % np.uint64(self.buckets)).astype(np.int64)  # equal strings have one
+        order = np.argsort(home, kind="stable")
+        place = np.empty(len(one), np.int64)
+        place[order] = np.arange(len(one))
+        place, first = place[of], one[order]
         least = np.full(len(first), NOBODY)
         np.minimum.at(least, place, self.ids[self.doc[runs]])
-        return copies, runs, place, first, size[first], least, np.searchsorted(home[first], np.arange(self.buckets + 1))
+        return copies, runs, place, first, size[first], least, _ranges(home[order])
 
 
 def removals(docs: DataFrame, length: int = LENGTH, ram: int = RAM, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text binary]) of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    segments = parts(docs, SEGMENT_DOCS)
-    buckets = segments
-    dealt = docs.withColumn("seg", F.pmod(F.xxhash64("doc_id"), F.lit(segments)))
+    count = segments(docs, SEGMENT_BYTES)
+    buckets = count
+    dealt = docs.withColumn("seg", segment(count))
 
     def send(t: pa.Table) -> pa.Table:
         s = _Segment(t, length, buckets)
         rows = []
-        for b in range(buckets):
-            o = s.order[s.cuts[b] : s.cuts[b + 1]]
-            if len(o):
-                rows.append((b, s.seg, MINIMIZERS, (s.keys[o] | s.several[o].astype(np.uint64)).tobytes(), None, None))
-            o = s.text_order[s.text_cuts[b] : s.text_cuts[b + 1]]
-            if len(o):
-                rows.append((b, s.seg, WHOLE, s.texts[o].tobytes(), s.text_low[o].tobytes(), None))
+        for b, i, j in s.cuts:
+            o = s.order[i:j]
+            rows.append((b, s.seg, MINIMIZERS, (s.keys[o] | s.several[o].astype(np.uint64)).tobytes(), None, None))
+        for b, i, j in s.text_cuts:
+            o = s.text_order[i:j]
+            rows.append((b, s.seg, WHOLE, s.texts[o].tobytes(), s.text_low[o].tobytes(), None))
         return _table(rows)
 
     def compare(t: pa.Table) -> pa.Table:
         rows, bucket = [], t["bucket"][0].as_py()
         for kind in (MINIMIZERS, WHOLE):
             part = t.filter(pa.compute.equal(t["kind"], kind))
-            keys = [np.frombuffer(x, np.uint64) for x in part["a"].to_pylist()]
+            keys = [np.frombuffer(x, np.uint64 if kind == MINIMIZERS else NAME) for x in part["a"].to_pylist()]
             if not keys:
                 continue
             every = np.concatenate(keys)
@@ -312,8 +340,8 @@ def removals(docs: DataFrame, length: int = LENGTH, ram: int = RAM, keep_text: b
                 n = n + np.bincount(back, every & np.uint64(1), len(u)).astype(np.int64)
                 got = (n > 1)[back]
             else:
-                u, back = np.unique(every, return_inverse=True)
-                least = np.full(len(u), NOBODY)
+                one, back = distinct(every)
+                least = np.full(len(one), NOBODY)
                 np.minimum.at(least, back, np.frombuffer(b"".join(part["b"].to_pylist()), np.int64))
                 got = least[back]
             rows += [(bucket, s, kind, got[i:j].tobytes(), None, None) for s, i, j in zip(part["seg"].to_pylist(), cuts, cuts[1:])]
@@ -321,11 +349,10 @@ def removals(docs: DataFrame, length: int = LENGTH, ram: int = RAM, keep_text: b
 
     def state(s: _Segment, back: dict) -> tuple[np.ndarray, np.ndarray]:
         shared, low = np.zeros(len(s.keys), bool), np.full(len(s.texts), NOBODY)
-        for b in range(buckets):
-            if (MINIMIZERS, b) in back:
-                shared[s.order[s.cuts[b] : s.cuts[b + 1]]] = np.frombuffer(back[MINIMIZERS, b], bool)
-            if (WHOLE, b) in back:
-                low[s.text_order[s.text_cuts[b] : s.text_cuts[b + 1]]] = np.frombuffer(back[WHOLE, b], np.int64)
+        for b, i, j in s.cuts:
+            shared[s.order[i:j]] = np.frombuffer(back[MINIMIZERS, b], bool)
+        for b, i, j in s.text_cuts:
+            low[s.text_order[i:j]] = np.frombuffer(back[WHOLE, b], np.int64)
         return shared, low
 
     def send_strings(t: pa.Table, back: pa.Table) -> pa.Table:
@@ -336,10 +363,9 @@ def removals(docs: DataFrame, length: int = LENGTH, ram: int = RAM, keep_text: b
         _, runs, _, first, size, least, cuts = s.sent_strings(shared, low, length)
         starts = s.starts[runs[first]]
         rows = [(s.seg % buckets, s.seg, STATE, np.packbits(shared).tobytes(), low.tobytes(), None)]  # comes back as it is
-        for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
-            if j > i:
-                text = b"".join(s.data[x : x + n].tobytes() for x, n in zip(starts[i:j].tolist(), size[i:j].tolist()))
-                rows.append((b, s.seg, STRINGS, text, size[i:j].astype(np.uint8 if 2 * length < 256 else np.uint32).tobytes(), least[i:j].tobytes()))
+        for b, i, j in cuts:
+            text = b"".join(s.data[x : x + n].tobytes() for x, n in zip(starts[i:j].tolist(), size[i:j].tolist()))
+            rows.append((b, s.seg, STRINGS, text, size[i:j].astype(np.uint8 if 2 * length < 256 else np.uint32).tobytes(), least[i:j].tobytes()))
         return _table(rows)
 
     def sort_shard(t: pa.Table) -> pa.Table:
@@ -351,11 +377,10 @@ def removals(docs: DataFrame, length: int = LENGTH, ram: int = RAM, keep_text: b
             size, owner = np.concatenate(sizes), np.frombuffer(b"".join(part["c"].to_pylist()), np.int64)
             data = b"".join(part["a"].to_pylist())
             ends = np.cumsum(size)
-            h = np.array([xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip((ends - size).tolist(), ends.tolist())], np.uint64)
-            _, one, back = np.unique(h, return_index=True, return_inverse=True)  # each string once
+            raw = np.frombuffer(data, np.uint8)
+            one, back = distinct(named(raw, (ends - size).tolist(), ends.tolist()))  # each string once
             least = np.full(len(one), NOBODY)
             np.minimum.at(least, back, owner)
-            raw = np.frombuffer(data, np.uint8)
             picked = np.zeros(len(size), bool)
             picked[one] = True
             rank = np.cumsum(picked) - 1  # of the distinct strings, in order of place
@@ -391,7 +416,7 @@ def removals(docs: DataFrame, length: int = LENGTH, ram: int = RAM, keep_text: b
         shared = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(s.keys)).astype(bool)
         copies, runs, place, first, size, _, cuts = s.sent_strings(shared, np.frombuffer(low, np.int64), length)
         kind = np.uint8 if 2 * length < 256 else np.uint32
-        ns, lens, vals = (np.concatenate([np.frombuffer(got[STRINGS, b][i], d) for b in range(buckets) if cuts[b + 1] > cuts[b]] or [np.zeros(0, d)]) for i, d in enumerate((kind, kind, np.int64)))
+        ns, lens, vals = (np.concatenate([np.frombuffer(got[STRINGS, b][i], d) for b, _, _ in cuts] or [np.zeros(0, d)]) for i, d in enumerate((kind, kind, np.int64)))
         least = np.repeat(vals, lens)  # of every window of every sent string
         windows = size - length + 1
         begin = np.cumsum(windows) - windows

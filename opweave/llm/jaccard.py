@@ -160,9 +160,22 @@ def points_kind(k: int) -> int:
     return 2 * k + 1
 
 
-def _point(k: int, percent: int) -> np.dtype:
-    """Counts travel in bytes where a group holds 24 of a set's hashed tokens on average at most: 256 are out of reach."""
-    return np.dtype([("node", "i8"), ("n", "i8"), ("at", "u1" if percent >= 50 else "u4", (groups_of(k),))])
+def _point(k: int) -> np.dtype:
+    """Counts travel in bytes. One of 255 stands for any count from 255 on, which bounds overlaps from above: see ``packed``."""
+    return np.dtype([("node", "i8"), ("n", "i8"), ("at", "u1", (groups_of(k),))])
+
+
+def packed(points: np.ndarray) -> np.ndarray:
+    return np.minimum(points, 255).astype(np.uint8)
+
+
+def unpacked(points: np.ndarray) -> np.ndarray:
+    """Counts for bounds. A full byte counts as more than any set has, so that no bound falls below the truth."""
+    if not (points == 255).any():
+        return points
+    out = points.astype(np.uint32)
+    out[points == 255] = 1 << 24
+    return out
 
 
 def _classes(t: pa.Table) -> list[int]:
@@ -252,7 +265,7 @@ def candidates(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFr
                 keys = np.empty(sum(len(r[3]) for r in rows), _KEY)
                 keys["key"], keys["node"] = np.concatenate([r[3] for r in rows]), np.repeat([r[0] for r in rows], [len(r[3]) for r in rows])
                 yield _blobs((keys["key"] % np.uint64(buckets)).astype(np.int64), keys, keys_kind(k))
-                points = np.array([r[:3] for r in rows], _point(k, percent))
+                points = np.array([(r[0], r[1], packed(r[2])) for r in rows], _point(k))
                 yield _blobs(_home(points["node"], buckets), points, points_kind(k))
 
     def shared_keys(t: pa.Table) -> pa.Table:
@@ -272,7 +285,7 @@ def candidates(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFr
     def with_points(t: pa.Table) -> pa.Table:
         out = []
         for k in _classes(t):
-            rows, at = _gather(t, keys_kind(k), _KEY), _gather(t, points_kind(k), _point(k, percent))
+            rows, at = _gather(t, keys_kind(k), _KEY), _gather(t, points_kind(k), _point(k))
             if not len(rows):
                 continue
             bucket = (rows["key"] % np.uint64(buckets)).astype(np.int64)
@@ -285,11 +298,11 @@ def candidates(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFr
     def linked(t: pa.Table) -> pa.Table:
         u, v = [], []
         for k in _classes(t):
-            rows, at = _gather(t, keys_kind(k), _KEY), _gather(t, points_kind(k), _point(k, percent))
+            rows, at = _gather(t, keys_kind(k), _KEY), _gather(t, points_kind(k), _point(k))
             if not len(rows):
                 continue
             node, first = np.unique(at["node"], return_index=True)
-            n, points = at["n"][first], at["at"][first]
+            n, points = at["n"][first], unpacked(at["at"][first])
             own = np.searchsorted(node, rows["node"])[np.argsort(rows["key"], kind="stable")]
             key = np.sort(rows["key"])
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])

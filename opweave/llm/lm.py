@@ -7,7 +7,7 @@ to right adds log10 weights. b depends on the size of c(h) (``BINS``) and is the
 gives the training tokens, each left out in turn, the largest probability: every count, and the choice
 of b, comes from all training texts and grows with them.
 
-How it is dealt out: texts meet in segments of about ``SEGMENT_DOCS``; a segment sends each of its
+How it is dealt out: texts meet in segments of about ``SEGMENT_BYTES``; a segment sends each of its
 distinct n-grams, as 64-bit hashes with counts, to the bucket of the hash, and gets the totals back in
 the order it sent them. So no table of all n-grams is held anywhere. Texts are shuffled once.
 
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opweave.llm._spark import parts, written
+from opweave.llm._spark import segment, segments, written
 from opweave.llm._text import _ODD, mix, slices, utf8, word_hashes
 from opweave.session import table
 
-SEGMENT_DOCS = 2000
+#: Bytes of text in a segment.
+SEGMENT_BYTES = 6 << 20
 END = np.uint64(0x1D8AF5C1E07B6A93)
 #: Lower ends of the bins of c(h), and the backoff weights to choose from.
 BINS = np.array([1, 2, 4, 16, 256, 4096, 65_536])
@@ -103,6 +104,12 @@ def _distinct(h: np.ndarray, train: np.ndarray, buckets: int):
     return u[order], count[order], np.searchsorted(home[order], np.arange(buckets + 1)), place[back]
 
 
+def _full(cuts: np.ndarray) -> list[tuple[int, int, int]]:
+    """The buckets that have something, with their ranges: a segment sends no more messages than it has hashes."""
+    at = np.flatnonzero(np.diff(cuts))
+    return list(zip(at.tolist(), cuts[at].tolist(), cuts[at + 1].tolist()))
+
+
 def _narrow(h: np.ndarray) -> bytes:
     """Seven bytes of each hash; the bucket they go to holds more of it."""
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
@@ -150,11 +157,11 @@ def corpus_counts(docs: DataFrame, buckets: int) -> tuple[int, int]:
 def scores(docs: DataFrame, held_out) -> DataFrame:
     """One row for every row of docs(doc_id, text); rows where held_out holds don't train."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    segments = parts(docs, SEGMENT_DOCS)
-    buckets = segments
+    count_ = segments(docs, SEGMENT_BYTES)
+    buckets = count_
     n_all, v_all = corpus_counts(docs, buckets)
     floor = n_all + v_all + 1
-    dealt = docs.withColumn("seg", F.pmod(F.xxhash64("doc_id"), F.lit(segments)))
+    dealt = docs.withColumn("seg", segment(count_))
 
     def send(t: pa.Table) -> pa.Table:
         h, _, doc, two = _tokens(t["text"])
@@ -162,7 +169,7 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
         rows: list[tuple] = []
         for kind, x in ((0, h), (1, two)):
             u, n, cuts, _ = _distinct(x, train, buckets)
-            rows += [(b, kind, _narrow(u[i:j]), _short(n[i:j])) for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if j > i]
+            rows += [(b, kind, _narrow(u[i:j]), _short(n[i:j])) for b, i, j in _full(cuts)]
         b, k, x, n = zip(*rows)
         return pa.table([pa.array(b, pa.int64()), pa.array([t["seg"][0].as_py()] * len(b), pa.int64()), pa.array(k, pa.int32()), pa.array(x, pa.binary()), pa.array(n, pa.binary())], ["bucket", "seg", "kind", "hashes", "counts"])
 
@@ -194,7 +201,7 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
         count = []
         for kind, x in ((0, h), (1, two)):
             _, _, cuts, at = _distinct(x, train, buckets)
-            count.append(np.concatenate([_long(got[kind, b], j - i) for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if j > i])[at])
+            count.append(np.concatenate([_long(got[kind, b], j - i) for b, i, j in _full(cuts)])[at])
         c_w, c_hw = count
         first = np.r_[True, doc[1:] != doc[:-1]]
         ends = c_w[np.flatnonzero(h == END)[:1]]
