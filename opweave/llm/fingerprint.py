@@ -6,7 +6,8 @@ of the whole text, with its length, and a sketch: the ``SKETCH`` smallest hashes
 ``SPAN`` code points (of the whole text where it is shorter), all read off the prefix array.
 
 The likeness of two fingerprints is 1 for equal whole-text hashes, else the Jaccard estimate of the
-sketches: of the SKETCH smallest values of the union, the share that both have.
+sketches: of the SKETCH smallest values of the union, the share that both have. Where two texts meet, the longest
+common extension from their first code points tells how far they agree.
 
 Edge cases: a null text is empty; the empty text has an empty sketch, and likeness 0 to all but itself;
 rows are ordered by doc_id (null first), then text, so that repeated doc_ids have a defined next one; a
@@ -108,6 +109,8 @@ class PrefixHash:
         """Length of the longest common extension of self[i:] and other[j:], by binary search."""
         other = other or self
         low, high = 0, min(self.n - i, other.n - j)
+        if other is self and i == j:
+            return high
         while low < high:
             mid = (low + high + 1) // 2
             low, high = (mid, high) if self.equal(i, j, mid, other) else (low, mid - 1)
@@ -128,10 +131,13 @@ def sketch(p: PrefixHash) -> np.ndarray:
         k *= 4
 
 
+def printed(p: PrefixHash) -> str:
+    return f"{p.whole():016x}:{p.n:x}:" + sketch(p).astype(">u4").tobytes().hex()
+
+
 def fingerprint(text: str) -> str:
     """Whole-text hash (16 hex digits), length, and the sketch, 8 hex digits a value."""
-    p = PrefixHash(text)
-    return f"{p.whole():016x}:{p.n:x}:" + sketch(p).astype(">u4").tobytes().hex()
+    return printed(PrefixHash(text))
 
 
 def likeness(a: str, b: str) -> float:
@@ -151,8 +157,9 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-#: Rows behind one range of doc_ids, and the most ranges there are; a range of any size is read as a stream.
-RANGE_ROWS, MOST_RANGES = 500, 4096
+#: Rows behind one range of doc_ids in small tables, and in large ones, where the driver holds the bounds; a range
+#: of any size is read as a stream.
+RANGE_ROWS, FEW_RANGES, LARGE_ROWS = 500, 4096, 100_000
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -162,7 +169,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     The ranges' bounds are quantiles of the ids, and the texts are shuffled once.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    k = min(MOST_RANGES, max(1, docs.count() // RANGE_ROWS))
+    n = docs.count()
+    k = max(1, min(FEW_RANGES, n // RANGE_ROWS), n // LARGE_ROWS)
     cuts = sorted(set(docs.where("doc_id is not null").stat.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.2 / k))) if k > 1 else []
     cuts = [-1e300, *cuts]  # one at least
     split = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="id", outputCol="own")
@@ -181,28 +189,35 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """For every row its fingerprint and that of its edited text, with their likenesses."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    """For every row its fingerprint and that of its edited text, with their likenesses, and how many code points
+    the text shares, from the first on, with the edited and with the next one (``same_edited``, ``same_next``)."""
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited", "same_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def runs(batches):
         cols: list[list] = [[] for _ in names]
-        last = None  # range, doc_id, text and fingerprint of a row whose next one is still to come
+        last = None  # range, doc_id, text, its prefix hashes and fingerprint, of a row whose next one is still to come
         for batch in batches:
             for r, extra, i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own = None
+                p = own = None
                 if last is not None and last[0] == r:
-                    own = last[3] if text == last[2] else fingerprint(text)
-                    changed = edit(last[2], text)
-                    new = last[3] if changed == last[2] else fingerprint(changed)
+                    _, j, old, q, mark = last
+                    p, own = (q, mark) if text == old else (p := PrefixHash(text), printed(p))
+                    changed = edit(old, text)
+                    e = q if changed == old else PrefixHash(changed)
+                    new = mark if e is q else printed(e)
                     sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    for c, x in zip(cols, (last[1], len(last[2]), sha, last[3], new, likeness(last[3], new), likeness(last[3], own))):
+                    for c, x in zip(cols, (j, len(old), sha, mark, new, likeness(mark, new), likeness(mark, own), q.extension(0, 0, e), q.extension(0, 0, p))):
                         c.append(x)
-                last = None if extra else (r, i, text, own or fingerprint(text))
+                if extra:
+                    last = None
+                else:
+                    p = p or PrefixHash(text)
+                    last = (r, i, text, p, own or printed(p))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names)
             cols = [[] for _ in names]
 
-    return in_order(docs).mapInArrow(runs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(docs).mapInArrow(runs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long")
 
 
 def op3(spark, sf_dir):

@@ -165,24 +165,50 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def plain_hash(codes):
+    """The polynomial hash of a span under the first base, by its definition."""
+    return sum((c + 1) * pow(fingerprint.BASES[0], k, fingerprint.MODULUS) for k, c in enumerate(codes)) % fingerprint.MODULUS
+
+
+def plain_sketch(t):
+    """The smallest spread hashes of a text's distinct spans, each hashed on its own."""
+    n = min(fingerprint.SPAN, len(t))
+    spread = {(plain_hash(list(map(ord, t[i : i + n]))) * 0x9E3779B97F4A7C15 % 2**64) >> 32 for i in range(len(t) - n + 1)} if t else set()
+    return sorted(spread)[: fingerprint.SKETCH]
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = plain_sketch(a), plain_sketch(b)
+    union = sorted({*x, *y})[: fingerprint.SKETCH]
+    return sum(h in x and h in y for h in union) / len(union) if x and y else 0.0
+
+
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def test_fingerprints(docs, data, empty):
+    """Against the definitions, in plain Python."""
     order = sorted(zip(data.doc_id, [t or "" for t in data.text]))
     got = fingerprint.fingerprints(docs).collect()
     want = []
     for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
         k = len(t) // 4
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()))
-    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(want)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    by_text = {}
+        changed = t[: len(t) - k] + n[:k]
+        want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), plain_likeness(t, changed), plain_likeness(t, n), common(t, changed), common(t, n)))
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next, r.same_edited, r.same_next) for r in got) == sorted(want)
+    assert len({r.fingerprint for r in got}) == len({t for _, t in order})
+    for r in got:
+        assert (r.fingerprint == r.edited_fingerprint) == (r.same_edited == r.n_chars and r.near_edited == 1)
+    by_id = {}
     for r in got:
-        assert (r.fingerprint == r.edited_fingerprint) <= (r.near_edited == 1)
-    for i, t in order:
-        by_text.setdefault(t, fingerprint.fingerprint(t))
-        assert fingerprint.fingerprint(t) == by_text[t]
+        by_id.setdefault(r.doc_id, set()).add(r.fingerprint)
+    assert all(fingerprint.fingerprint(t) in by_id[i] for i, t in order)
     assert fingerprint.fingerprints(empty).count() == 0
     lone = fingerprint.fingerprints(docs.where("text = 'two words'")).collect()
-    assert len(lone) == 1 and lone[0].near_next == 1
+    assert len(lone) == 1 and lone[0].near_next == 1 and lone[0].same_next == lone[0].n_chars
 
 
 def test_fingerprint_ranges(docs, data, monkeypatch):
