@@ -5,9 +5,9 @@ Documents fall into cells (source, language, topic); a value that the targets do
 |topics|. Cells' tokens are raked to the three marginals in ``rounds`` rounds, and each document is kept
 with the probability min(1, share * target tokens / tokens) of its cell, decided by a hash of its doc_id.
 
-The share of tokens to keep is given (``op9`` keeps to the 0.8 of its SQL) or, if None, derived from the
-weights: the largest, up to ``SHARE``, that takes no probability beyond 1. Only then do the expected kept tokens
-follow the weights; with a given share, cells whose weight is above 1 / share are kept whole and fall short.
+The share of tokens to keep is derived from the weights: the largest, up to ``SHARE``, that takes no probability
+beyond 1, so that the expected kept tokens follow the weights in every cell. A share may be given instead; cells
+whose weight is above 1 / share are then kept whole and fall short.
 
 Edge cases: a target without documents is left out and the others are scaled up; a null source or
 language falls into ``other``; a document without words (null, empty) has no tokens, weight 0 and
@@ -62,7 +62,7 @@ def followed(weights) -> float:
     return min(SHARE, 1 / max(weights, default=1.0))
 
 
-def calibrated(docs: DataFrame, sources=SOURCES, langs=LANGS, topics=TOPICS, share: float | None = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def calibrated(docs: DataFrame, sources=SOURCES, langs=LANGS, topics=TOPICS, share: float | None = None, rounds: int = ROUNDS) -> DataFrame:
     """The rows of docs with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight (of a token, 1 on average), mix_prob and mix_kept."""
     cell = ["mix_source", "mix_lang", "mix_topic"]
     df = docs.drop("mix_tokens", *cell, "mix_weight", "mix_prob", "mix_kept", "mix_w").withColumns({"mix_tokens": n_tokens(), "mix_source": _named("source", sources), "mix_lang": _named("lang", langs)}).withColumn("mix_topic", topic(tokens="mix_tokens"))
@@ -100,9 +100,10 @@ def _oracle() -> str:
             k += 1
     return (
         sql
-        + f"""
-    select doc_id, source, lang, topic, n_tokens, round(weight, 6) weight, round(least(1.0::double, weight * {SHARE!r}::double), 6) prob,
-      ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0::double < least(1.0::double, weight * {SHARE!r}::double) kept
+        + f""",
+    f as (select least({SHARE!r}::double, 1 / max(w * (select sum(n) from c0) / n)) share from c{k})
+    select doc_id, source, lang, topic, n_tokens, round(weight, 6) weight, round(least(1.0::double, weight * (select share from f)), 6) prob,
+      ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0::double < least(1.0::double, weight * (select share from f)) kept
     from (select e.*, case when n_tokens > 0 then coalesce(c.w * (select sum(n) from c0) / c.n, 0) else 0 end::double weight
       from e left join c{k} c using (source, lang, topic))"""
     )
