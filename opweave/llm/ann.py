@@ -123,7 +123,7 @@ def neighbours(df: DataFrame, is_query, k: int = 5) -> DataFrame:
     for dim, n in sorted(map(tuple, entries.groupBy("dim").count().collect())):
         own, ask = entries.where(F.col("dim") == dim), queries.where(F.col("dim") == dim)
         share = min(1.0, 1.2 * FIT_ROWS / n)
-        sample = own.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("embedding").limit(FIT_ROWS).toArrow()
+        sample = own.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(FIT_ROWS).toArrow()
         if sample.num_rows:
             out.append(_search(own, ask, Codes(_matrix(sample["embedding"]), k), n, k))
     if not out:
