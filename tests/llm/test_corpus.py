@@ -525,12 +525,42 @@ def test_urls(spark):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
         assert got[i].verdict == (verdict or ("block" if got[i].score >= 0.5 else "allow"))
     assert got[13].verdict == got[0].verdict and got[7].score < 0.5
-    held = [("http://www.super-casino-bets.example.org/x/1", 1), ("http://free-pills.example.com/de/3", 1), ("http://www.railway-museum.example.org/x/1", 0), ("http://school-kitchen.example.com/de/3", 0), ("http://morning-news.example.net/", 0)]
+    held = [("http://www.super-casino-bets.example.org/x/1", 1), ("http://free-pills.example.com/de/3", 1), ("http://www.railway-museum.example.org/x/1", 0), ("http://school-kitchen.example.com/de/3", 0), ("http://morning-news.example.net/", 0), ("http://www.example.org/cheap-pills-online/3", 1), ("http://www.example.org/free-casino-spins", 1), ("http://www.example.org/history-lessons/3", 0)]
     judged = urls.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string"), model).collect()
     assert all((r.score >= 0.5) == bool(held[r.page_id][1]) for r in judged)
     assert urls.judge(df.where("false"), model).count() == 0
 
 
+def test_url_model_against_plain_python(spark):
+    """N-grams, training and scores from their definitions; hashes alone are taken from Spark."""
+    found = [("http://" + f.format(w), float(y)) for t, frames in ((urls.LABELLED, urls.FRAMES), (urls.PATHS, urls.PATH_FRAMES)) for y, ws in t.items() for w in ws.split() for f in frames]
+    extra = [("https://blog.pills-online.example.net/fr/3?x=1", 0.0), ("http://" + "very-long-" * 3000 + ".example.org/a", 0.0)]
+
+    def pieces_of(url):
+        rest = url.partition("://")[2]
+        host, path = re.match(r"[^/?#]*", rest)[0], re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        return {(mark, f"^{part}$"[i : i + k]) for mark, part in (("h", host), ("p", path)) if part for k in urls.GRAMS for i in range(len(part) + 3 - k)}
+
+    own = [pieces_of(u) for u, _ in found + extra]
+    every = sorted(set().union(*own))
+    hashed = spark.createDataFrame([(i, m, g) for i, (m, g) in enumerate(every)], "i long, m string, g string").selectExpr("i", f"pmod(hash(m, g), {urls.DIM}) h").collect()
+    at = {every[r.i]: r.h for r in hashed}
+    x = np.zeros((len(own), urls.DIM + 1))
+    for k, grams in enumerate(own):
+        x[k, [at[g] for g in grams]] = 1
+    x[:, -1] = 1
+    y, decay = np.array([y for _, y in found]), np.r_[np.full(urls.DIM, urls.DECAY), 0]
+    now, was, t = np.zeros(urls.DIM + 1), np.zeros(urls.DIM + 1), x[: len(y)]
+    for _ in range(urls.ROUNDS):
+        w = now + urls.MOMENTUM * (now - was)
+        now, was = w - urls.RATE * (t.T @ (1 / (1 + np.exp(-t @ w)) - y) / len(y) + decay * w), now
+    weights, bias = urls.train(spark)
+    assert np.allclose([*weights, bias], now, atol=1e-9)
+    got = urls.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(found + extra)], "page_id long, url string"), (weights, bias)).collect()
+    assert np.allclose([r.score for r in sorted(got)], 1 / (1 + np.exp(-x @ now)))
+    assert np.mean((np.array([r.score for r in sorted(got)][: len(y)]) >= 0.5) == y) > 0.99
+
+
 def test_pipeline(spark, data, tmp_path):
     import corpus_pipeline as c
 
