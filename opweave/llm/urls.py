@@ -49,15 +49,18 @@ def _parts(df: DataFrame) -> DataFrame:
 
 def _grams(text: Column, mark: str) -> Column:
     """Hashed n-grams of one part, with its ends marked; empty for an empty part."""
-    chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
+    none = F.array().cast("array<int>")
 
-    def of(k: int) -> Column:
+    def of(chars: Column, k: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(chars) - (k - 1))
         # a function of one argument: a second one would be given the index
         every = F.transform(starts, lambda i: F.pmod(F.hash(F.lit(mark), F.array_join(F.slice(chars, i, k), "")), F.lit(DIM)))
-        return F.when(F.size(chars) >= k, every).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(chars) >= k, every).otherwise(none)
 
-    return F.when(F.length(text) > 0, F.concat(*map(of, GRAMS))).otherwise(F.array().cast("array<int>"))
+    # the characters are a lambda's variable, so that they are made once for a text and not for each n-gram
+    split = F.array(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""))
+    grams = F.get(F.transform(split, lambda chars: F.concat(*[of(chars, k) for k in GRAMS])), F.lit(0))
+    return F.when(F.length(text) > 0, grams).otherwise(none)
 
 
 def features(host: str = "host", path: str = "path") -> Column:
