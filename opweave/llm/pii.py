@@ -3,11 +3,16 @@
 ``base_spans`` finds what the patterns for e-mail, IP, card and phone numbers match. The field then labels
 tokens (white-space separated, holding a digit or an ``@``) as one of these kinds or none. Its potentials:
 features of the token's form, edges between neighbouring tokens, and skip edges between distant tokens of
-a document that are equal or have the same digits; loopy sum-product message passing makes labels agree
-along them. A token that the patterns leave out, but that the field gives a kind with probability
-``SURE`` or more, is added, as long as it shares its content with a base span of its document (the same
-core, or the digits, seven or more, of the span or of a token in it, such as a phone number repeated
-without its area code): the patterns' own finds are never taken away.
+a document that are alike: equal, with the same digits, or in runs of digit tokens that end in the same seven
+digits (a number repeated in other groups, or without its prefix). A token is linked to the last one alike and to
+the first. Loopy sum-product message passing goes on until the messages settle, so that evidence reaches every
+repetition. The patterns' own finds are never taken away; what the field adds are runs of neighbouring tokens that
+the patterns leave out and that it gives one kind, one of them with probability ``SURE`` or more, if the run is
+
+* alike to a base span of its document (the same core, the same digits, seven or more, of the span or of a token
+  in it, or the last seven and more of its digits), or
+* by itself what that kind can be: a phone number of 9 to 15 digits in groups, a card number of 12 to 19 digits
+  that passes Luhn's test, an address of four numbers to 255, an e-mail address with a dot after its sign.
 
 Learning: a bounded sample of documents (``TRAIN_DOCS``, the smallest hashes of doc_id among those with a
 digit or an ``@``), whose base spans are the labels. Only counts of forms come to the driver.
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -34,7 +40,11 @@ from opweave.session import table
 KINDS = ("email", "ip", "card", "phone")
 #: Pairs of alike tokens assumed before any are counted, and the share of them with one label.
 ALIKE, SAME = 10.0, 0.8
-TRAIN_DOCS, SURE, ROUNDS = 2000, 0.9, 8
+TRAIN_DOCS, SURE = 2000, 0.9
+#: Messages have settled when none changes by more; a graph that goes round and round is left after so many rounds.
+SETTLED, ROUNDS = 1e-4, 1000
+#: Digits by which two runs are alike.
+ALIKE_DIGITS = 7
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 #: A run of digits that fails from its start fails from any of its digits: later starts need no look.
@@ -110,30 +120,55 @@ def core(token: str) -> str:
     return token.strip(".,;:!?\"'()[]{}<>*#&$%|").lower()
 
 
+_MARKS = ".,;:!?\"'[]{}<>*#&$%|"
+_DIGITS_ONLY = re.compile(r"[^\W\d_]")
+
+
 class Graph:
-    """Candidate tokens of some texts, with chain and skip edges."""
+    """Candidate tokens of some texts, with chain and skip edges. A run is a number of neighbouring tokens without
+    letters, as (first token, last token, digits without leading zeros)."""
 
     def __init__(self, texts: list[str]):
         self.spans, self.doc, self.forms, self.label, self.base = [], [], [], [], []
-        self.chain, self.skip = [], []
+        self.chain, self.skip, self.near, self.runs = [], [], [], []
         for d, text in enumerate(texts):
             base = base_spans(text)
             self.base.append(base)
-            last, seen = None, {}
+            last, seen, first = None, {}, len(self.spans)
             for m in _TOKEN.finditer(text) if _DIGIT.search(text) or "@" in text else ():
                 t, a, b = m[0], m.start(), m.end()
                 k, near = len(self.spans), last is not None and a - last <= 1
                 if near:
                     self.chain.append((k - 1, k))
                 c, digits = core(t), _NOT_DIGIT.sub("", t)
-                keys = {c, digits if len(digits) >= 7 else c}
-                self.skip += [(j, k) for j in sorted({seen[key] for key in keys if key in seen})]
-                seen |= dict.fromkeys(keys, k)
+                self._link(k, {c, digits if len(digits) >= ALIKE_DIGITS else c}, seen)
                 self.spans.append((a, b))
                 self.doc.append(d)
+                self.near.append(near)
                 self.forms.append(form(t, near))
                 self.label.append(next((kind + 1 for s, kind, e in base if s < b and e > a), 0) if base else 0)
                 last = b
+            self._runs(text, first, seen)
+
+    def _link(self, k: int, keys: set, seen: dict) -> None:
+        """Skip edges to the last and the first token of each key, if there are any but the neighbour."""
+        self.skip += [(j, k) for j in sorted({j for key in keys if key in seen for j in seen[key]} - {k})]
+        for key in keys:
+            seen[key] = (seen[key][0] if key in seen else k, k)
+
+    def _runs(self, text: str, first: int, seen: dict) -> None:
+        k = first
+        while k < len(self.spans):
+            end = k + 1
+            if not _DIGITS_ONLY.search(text, *self.spans[k]):
+                while end < len(self.spans) and self.near[end] and not _DIGITS_ONLY.search(text, *self.spans[end]):
+                    end += 1
+                digits = _NOT_DIGIT.sub("", text[self.spans[k][0] : self.spans[end - 1][1]]).lstrip("0")
+                if len(digits) >= ALIKE_DIGITS:
+                    self.runs.append((k, end - 1, digits))
+                    for back in range(min(end - k, 4)):  # tokens of alike runs, counted from their ends
+                        self._link(end - 1 - back, {(digits[-ALIKE_DIGITS:], back)}, seen)
+            k = end
 
 
 class SkipChain:
@@ -195,30 +230,87 @@ class SkipChain:
         belief = u.copy()
         for _ in range(ROUNDS if len(src) else 0):
             out = np.logaddexp.reduce((belief[src] - messages[back])[:, :, None] + pair, axis=1)
-            messages = 0.5 * messages + 0.5 * (out - np.logaddexp.reduce(out, axis=1)[:, None])
+            new = 0.5 * messages + 0.5 * (out - np.logaddexp.reduce(out, axis=1)[:, None])
+            moved, messages = np.abs(new - messages).max(), new
             belief = u.copy()
             np.add.at(belief, dst, messages)
+            if moved <= SETTLED:
+                break
         return np.exp(belief - np.logaddexp.reduce(belief, axis=1)[:, None]) if len(u) else u
 
     def added(self, texts: list[str]) -> tuple[list[list], list[list]]:
         """Base spans, and all spans, of each text."""
         g = Graph(texts)
         every = [list(b) for b in g.base]
-        if g.spans:
-            p = self.marginals(g)
-            contents = [({core(t[s:e]) for s, _, e in b}, {d for s, _, e in b if len(d := _NOT_DIGIT.sub("", t[s:e])) >= 7}) if b else None for t, b in zip(texts, g.base)]
-            for (a, b), d, own in zip(g.spans, g.doc, g.label):
-                if own and len(x := _NOT_DIGIT.sub("", texts[d][a:b])) >= 7:
-                    contents[d][1].add(x)
-            for (a, b), d, own, q in zip(g.spans, g.doc, g.label, p):
-                kind = int(q.argmax())
-                if own or not kind or q[kind] < SURE or contents[d] is None:
-                    continue
-                token = texts[d][a:b]
-                if core(token) in contents[d][0] or _NOT_DIGIT.sub("", token) in contents[d][1]:
-                    every[d].append((a, kind - 1, b))
+        if not g.spans:
+            return g.base, every
+        p = self.marginals(g)
+        kinds, sure = np.where(np.array(g.label) == 0, p.argmax(axis=1), 0), p.max(axis=1) >= SURE
+        known: dict = {}  # document -> cores, digits, and last digits of base spans and of tokens in them
+        for k, last, digits in g.runs:  # a run of digit tokens is one candidate, whatever its groups
+            own = slice(k, last + 1)
+            if last == k or any(g.label[own]) or not (kinds[own].astype(bool) & sure[own]).any():
+                continue
+            d, kind = g.doc[k], int(p[own, 1:].mean(axis=0).argmax()) + 1
+            if d not in known:
+                known[d] = self._known(g, texts[d], d)
+            likely = p[own, kind].mean() >= 0.5 and (p[own, kind] >= SURE).any()
+            span = (g.spans[k][0], kind - 1, g.spans[last][1]) if self._repeats(digits, known[d]) else self._span(texts[d], g, k, last, kind, known[d]) if likely else None
+            if span:
+                every[d].append(span)
+                kinds[own] = 0
+        k = 0
+        while k < len(g.spans):
+            kind, end = int(kinds[k]), k + 1
+            if kind:
+                d = g.doc[k]
+                while end < len(g.spans) and g.near[end] and kinds[end] == kind:
+                    end += 1
+                if d not in known:
+                    known[d] = self._known(g, texts[d], d)
+                whole = self._span(texts[d], g, k, end - 1, kind, known[d]) if sure[k:end].any() else None
+                every[d] += [whole] if whole else [x for j in range(k, end) if sure[j] and (x := self._span(texts[d], g, j, j, kind, known[d]))]
+            k = end
         return g.base, [sorted(x) for x in every]
 
+    @staticmethod
+    def _known(g: Graph, text: str, d: int) -> tuple[set, set, set]:
+        base = g.base[d]
+        digits = {x for s, _, e in base if len(x := _NOT_DIGIT.sub("", text[s:e])) >= ALIKE_DIGITS}
+        low = bisect_left(g.doc, d)
+        for j in range(low, bisect_right(g.doc, d)):
+            if g.label[j] and len(x := _NOT_DIGIT.sub("", text[slice(*g.spans[j])])) >= ALIKE_DIGITS:
+                digits.add(x)
+        return {core(text[s:e]) for s, _, e in base}, digits, {x[-ALIKE_DIGITS:] for x in digits}
+
+    @staticmethod
+    def _repeats(digits: str, known: tuple[set, set, set]) -> bool:
+        """Whether digits, without leading zeros, end a known number, or the other way round."""
+        _, numbers, ends = known
+        return len(digits) >= ALIKE_DIGITS and digits[-ALIKE_DIGITS:] in ends and any(x.endswith(digits) or digits.endswith(x) for x in numbers)
+
+    @staticmethod
+    def _span(text: str, g: Graph, first: int, last: int, kind: int, known: tuple[set, set, set]) -> tuple[int, int, int] | None:
+        """The run as a span, if it is alike to a base span or can be of the kind by itself."""
+        a, b = g.spans[first][0], g.spans[last][1]
+        t = text[a:b]
+        whole, digits = (a, kind - 1, b), _NOT_DIGIT.sub("", t)
+        cores, numbers, _ = known
+        if core(t) in cores or digits in numbers:
+            return whole
+        if SkipChain._repeats(digits.lstrip("0"), known):
+            return whole
+        low, high = a + len(t) - len(t.lstrip(_MARKS)), b - (len(t) - len(t.rstrip(_MARKS)))
+        t = text[low:high]
+        letters = _DIGITS_ONLY.search(t)
+        fits = (
+            "@" in t[1:] and "." in t[t.rindex("@") :] and " " not in t,
+            not letters and len(parts := t.split(".")) == 4 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts),
+            not letters and 12 <= len(digits) <= 19 and luhn(digits),
+            not letters and 9 <= len(digits) <= 15 and len(re.findall("[0-9]+", t)) >= 3,
+        )[kind - 1]
+        return (low, kind - 1, high) if fits else None
+
 
 def train(docs: DataFrame) -> SkipChain:
     """docs(doc_id, text)."""

@@ -444,6 +444,41 @@ def test_skip_chain_adds_spans(spark):
     assert [t[s:e] for s, _, e in base[0]] == ["+1 (262) 555-3752"]
     assert [(t[s:e], pii.KINDS[k]) for s, k, e in every[0]] == [("+1 (262) 555-3752", "phone"), ("555-3752", "phone")]
     assert not every[1] and not every[2]
+    # in other groups and without the prefix; many times; found by their form alone, next to things that aren't numbers
+    t = "call +49 30 123 4567 now, or 030 123 4567 later, of 12"
+    assert [t[a:b] for a, _, b in field.added([t])[1][0]] == ["+49 30 123 4567", "030 123 4567"]
+    t = "call +1 (262) 555-3752 now" + " and 555-3752 it is" * 20
+    assert len(field.added([t])[1][0]) == 21
+    planted, clean = [], []
+    rnd = random.Random(3)
+    for _ in range(300):
+        planted.append(f"call ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)} now, item {rnd.randint(1, 9)} of 12")
+        clean.append(f"item {rnd.randint(1, 99)} of 12 costs {rnd.randint(100, 999)}.{rnd.randint(10, 99)} in {rnd.randint(1900, 2030)}, order {rnd.randint(10**6, 10**8)} page ({rnd.randint(1, 99)}) 2024-01-{rnd.randint(10, 28)}")
+    caught = [t[a:b] == t[5:19] for t, e in zip(planted, field.added(planted)[1]) for a, _, b in e]
+    assert len(caught) >= 0.9 * len(planted) and all(caught)
+    assert not any(field.added(clean)[1])
+
+
+def test_skip_chain_marginals():
+    """Against sums over all labellings, on a chain and on a tree with skip edges; settled on a loop."""
+    rnd = np.random.default_rng(4)
+    size = len(pii.KINDS) + 1
+    names = ["a", "b", "c", "d"]
+    field = pii.SkipChain({n: rnd.normal(size=size) for n in names}, rnd.normal(size=(size, size)), rnd.normal(size=(size, size)))
+
+    class G:
+        forms = [(n,) for n in names]
+
+    for chain, skip, exact in (([(0, 1), (1, 2), (2, 3)], [], True), ([(0, 1)], [(0, 2), (1, 3)], True), ([(0, 1), (1, 2), (2, 3)], [(0, 3)], False)):
+        G.chain, G.skip = chain, skip
+        got = field.marginals(G)
+        want = np.zeros((4, size))
+        for labels in np.ndindex(*[size] * 4):
+            w = sum(field.unary((n,))[k] for n, k in zip(names, labels)) + sum(field.chain[labels[i], labels[j]] for i, j in chain) + sum(field.skip[labels[i], labels[j]] for i, j in skip)
+            for i, k in enumerate(labels):
+                want[i, k] += np.exp(w)
+        want /= want.sum(axis=1, keepdims=True)
+        assert np.allclose(got, want, atol=1e-3 if exact else 0.2)
 
 
 def test_dedup(docs, data, empty):
