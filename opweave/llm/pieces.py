@@ -11,6 +11,9 @@ after them) with one node between two of them. Units are solved once for each ba
 of a text are merged from its units. Only units whose second-best segmentation is among the N - 1 closest
 can take part in the N best, and A* runs on those; their gap is exact from forward and backward scores.
 
+The N best segmentations of a text come as the best one's pieces, and for each its score and its edits: which
+pieces of the best are replaced by which (``edited`` applies them), as most of a long text is the same in all.
+
 Ties go to the segmentation that A* meets first, by (score, pieces). The vocabulary's path is a
 parameter; its pieces travel with the job. Edge cases: a null or empty text has no pieces and one
 segmentation, of score 0; a ``▁`` in a text is spelt in bytes, so that decoding restores every text
@@ -20,7 +23,7 @@ exactly; repeated rows give repeated results; other columns are ignored; an empt
 from __future__ import annotations
 
 import heapq
-from itertools import count
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -273,8 +276,8 @@ class Encoder:
         self.v, self.n, self.kept, self.ranked = v, n, {}, {}
         self.solver = Solver(v)
 
-    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, list[float]]]:
-        """For each text the ids of its best segmentation and the scores of its N best."""
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, list[tuple[float, list[tuple[int, int, list[int]]]]]]]:
+        """For each text the ids of its best segmentation, and its N best as (score, edits)."""
         chains = [units(t) for t in texts]
         new = set().union(*chains).difference(self.kept) if chains else set()
         if len(self.kept) + len(new) > UNITS_KEPT:
@@ -283,25 +286,34 @@ class Encoder:
         self.kept.update(self.solver.solve(list(new)))
         return [self._merged(c) for c in chains]
 
-    def encode(self, text: str) -> tuple[np.ndarray, list[float]]:
+    def encode(self, text: str) -> tuple[np.ndarray, list[tuple[float, list]]]:
         return self.encode_all([text])[0]
 
-    def _merged(self, chain: list[str]) -> tuple[np.ndarray, list[float]]:
+    def _ranked(self, unit: str) -> list[tuple[float, list[int]]]:
+        """A unit's N best segmentations, as losses against the best and ids; the one that was kept comes first."""
+        own = self.ranked.get(unit)
+        if own is None:
+            if len(self.ranked) >= UNITS_KEPT // 4:
+                self.ranked.clear()
+            top = [(s, self.v.ids_of(unit, path)) for s, path in Lattice(unit, self.v).n_best(self.n)]
+            best = np.frombuffer(self.kept[unit][0], np.int32).tolist()
+            rest = [(top[0][0] - s, ids) for s, ids in top if ids != best]
+            own = self.ranked[unit] = [(0.0, best), *rest][: self.n]
+        return own
+
+    def _merged(self, chain: list[str]) -> tuple[np.ndarray, list[tuple[float, list]]]:
         found = list(map(self.kept.__getitem__, chain))
         ids, scores, gaps = zip(*found) if found else ((), (), ())
+        ranked: list[tuple[float, tuple]] = [(0.0, ())]  # losses, and the units whose pieces change
+        for gap, i in heapq.nsmallest(self.n - 1, zip(gaps, range(len(gaps)))):  # merge this unit's segmentations into those so far
+            if gap < float("inf"):
+                own = self._ranked(chain[i])
+                both = [(a + b, (*edits, (i, k)) if k else edits) for a, edits in ranked for k, (b, _) in enumerate(own)]
+                ranked = heapq.nsmallest(self.n, both)
         best = float(sum(scores))
-        losses = [0.0]
-        for gap, i in heapq.nsmallest(self.n - 1, zip(gaps, range(len(gaps)))):  # merge this unit's losses into those so far
-            if gap == float("inf"):
-                continue
-            own = self.ranked.get(chain[i])
-            if own is None:
-                if len(self.ranked) >= UNITS_KEPT // 4:
-                    self.ranked.clear()
-                top = Lattice(chain[i], self.v).n_best(self.n)
-                own = self.ranked[chain[i]] = [top[0][0] - s for s, _ in top]
-            losses = heapq.nsmallest(self.n, (a + b for a in losses for b in own))
-        return np.frombuffer(b"".join(ids), np.int32), [best - x for x in losses]
+        starts = [0, *accumulate(len(x) // 4 for x in ids)] if len(ranked) > 1 else []
+        out = [(best - loss, [(starts[i], starts[i + 1] - starts[i], self._ranked(chain[i])[k][1]) for i, k in sorted(edits)]) for loss, edits in ranked]
+        return np.frombuffer(b"".join(ids), np.int32), out
 
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best segmentations of a text, best first, each with its score."""
@@ -317,8 +329,32 @@ class Encoder:
         return b"".join(map(self.v.spelt.__getitem__, ids))[1:].decode()
 
 
+def edited(ids: list[int], edits) -> list[int]:
+    """The best segmentation's ids with edits (start, n, pieces), which are in order and don't overlap, applied."""
+    out, done = [], 0
+    for start, n, pieces in edits:
+        out += [*ids[done:start], *pieces]
+        done = start + n
+    return [*out, *ids[done:]]
+
+
+_N_BEST_DDL = "array<struct<score: double, edits: array<struct<start: int, n: int, pieces: array<int>>>>>"
+_N_BEST = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("pieces", pa.list_(pa.int32()))])))]))
+
+
+def _nested(found: list) -> pa.Array:
+    """N-best lists as one column, built level by level."""
+    segs = [x for f in found for x in f]
+    edits = [e for _, es in segs for e in es]
+    offsets = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    pieces = pa.ListArray.from_arrays(offsets([len(p) for _, _, p in edits]), pa.array([k for _, _, p in edits for k in p], pa.int32()))
+    of_edits = pa.StructArray.from_arrays([pa.array([s for s, _, _ in edits], pa.int32()), pa.array([n for _, n, _ in edits], pa.int32()), pieces], ["start", "n", "pieces"])
+    of_segs = pa.StructArray.from_arrays([pa.array([s for s, _ in segs], pa.float64()), pa.ListArray.from_arrays(offsets([len(e) for _, e in segs]), of_edits)], ["score", "edits"])
+    return pa.ListArray.from_arrays(offsets([len(f) for f in found]), of_segs).cast(_N_BEST)
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFrame:
-    """(doc_id, n_pieces, pieces, scores, round_trip) of every row of docs(doc_id, text)."""
+    """(doc_id, n_pieces, pieces, n_best, round_trip) of every row of docs(doc_id, text)."""
     kept = vocabulary.pieces, vocabulary.byte_ids
 
     def rows(batches):
@@ -333,9 +369,9 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFra
                 flat = pa.array(np.concatenate([x for x, _ in got]), pa.int32())
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
                 true = [own.decode(x) == t for (x, _), t in zip(got, texts)]
-                yield pa.record_batch([part.column(at["doc_id"]).cast(pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array([s for _, s in got], pa.list_(pa.float64())), pa.array(true)], names=["doc_id", "n_pieces", "pieces", "scores", "round_trip"])
+                yield pa.record_batch([part.column(at["doc_id"]).cast(pa.int64()), pa.array(sizes, pa.int64()), lists, _nested([s for _, s in got]), pa.array(true)], names=["doc_id", "n_pieces", "pieces", "n_best", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_pieces long, pieces array<int>, scores array<double>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id long, n_pieces long, pieces array<int>, n_best {_N_BEST_DDL}, round_trip boolean")
 
 
 def op5(spark, sf_dir):

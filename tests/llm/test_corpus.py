@@ -333,13 +333,20 @@ def test_pieces(docs, data, empty):
     v = pieces.Vocabulary.of_file()
     e = pieces.Encoder(v)
     for t in [t or "" for t in data.text] + [" lead", "trail  ", "\n\tx", "▁▁ ▁"]:
-        ids, scores = e.encode(t)
-        assert e.decode(ids) == t
+        ids, found = e.encode(t)
+        assert e.decode(ids) == t and found[0][1] == []
         ranked = e.segmentations(t)
-        assert len(scores) == len(ranked) and all(e.decode(x) == t for _, x in ranked)
-        assert np.allclose(scores, [s for s, _ in ranked], rtol=1e-12, atol=1e-3)
+        whole = [pieces.edited(ids.tolist(), edits) for _, edits in found]
+        assert len(found) == len(ranked) == len({tuple(x) for x in whole}) and all(e.decode(x) == t for x in whole)
+        assert np.allclose([s for s, _ in found], [s for s, _ in ranked], rtol=1e-12, atol=1e-3)
+        score = lambda x: sum(v.scores[k] if v.scores[k] else 0 for k in x)
+        if not any(k in set(v.byte_ids) for k in ids.tolist()):
+            assert np.allclose([score(x) for x in whole], [s for s, _ in found], atol=1e-3)
     got = {(r.doc_id, r.n_pieces): r for r in pieces.encoded(docs, v).collect()}
     assert all(r.round_trip and r.n_pieces == len(r.pieces) for r in got.values())
+    for r in list(got.values())[:40]:
+        text = e.decode(r.pieces)
+        assert all(e.decode(pieces.edited(r.pieces, [tuple(x) for x in n.edits])) == text for n in r.n_best)
     assert pieces.encoded(empty, v).count() == 0
 
 
