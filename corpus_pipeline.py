@@ -49,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces: doc_id, n_pieces, pieces, scores of the best segmentations, round_trip."""
+    """The documents' pieces: doc_id, n_pieces, pieces, the best segmentations, round_trip."""
     return pieces.encoded(docs, pieces.Vocabulary.of_file())
 
 
