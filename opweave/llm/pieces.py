@@ -23,7 +23,8 @@ exactly; repeated rows give repeated results; other columns are ignored; an empt
 from __future__ import annotations
 
 import heapq
-from itertools import accumulate, count
+from array import array
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,8 @@ def units(text: str) -> list[str]:
     if not text:
         return []
     raw = text.replace(BLANK, OWN).split(" ")
+    if "" not in raw:  # single blanks alone
+        return [BLANK + w for w in raw]
     out, blanks = [], 1
     for k, w in enumerate(raw):
         if k:
@@ -272,19 +275,41 @@ def one(lattice: Lattice) -> tuple[bytes, float, float]:
 
 
 class Encoder:
+    """Units that were solved are kept as rows: ids (as bytes), score, gap to the second best."""
+
     def __init__(self, v: Vocabulary, n: int = N_BEST):
-        self.v, self.n, self.kept, self.ranked = v, n, {}, {}
+        self.v, self.n, self.ranked = v, n, {}
         self.solver = Solver(v)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row, self.ids, self.score, self.gap = {}, [], array("d"), array("d")
 
     def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, list[tuple[float, list[tuple[int, int, list[int]]]]]]]:
         """For each text the ids of its best segmentation, and its N best as (score, edits)."""
         chains = [units(t) for t in texts]
-        new = set().union(*chains).difference(self.kept) if chains else set()
-        if len(self.kept) + len(new) > UNITS_KEPT:
-            self.kept.clear()
+        new = set().union(*chains).difference(self.row) if chains else set()
+        if len(self.row) + len(new) > UNITS_KEPT:
+            self._forget()
             new = set().union(*chains)
-        self.kept.update(self.solver.solve(list(new)))
-        return [self._merged(c) for c in chains]
+        for unit, (ids, score, gap) in self.solver.solve(list(new)).items():
+            self.row[unit] = len(self.ids)
+            self.ids.append(ids)
+            self.score.append(score)
+            self.gap.append(gap)
+        flat = list(map(self.row.__getitem__, chain.from_iterable(chains)))
+        at = np.array(flat, np.int64)
+        pieces = list(map(self.ids.__getitem__, flat))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) // 4  # four bytes a piece
+        every = np.frombuffer(b"".join(pieces), np.int32)
+        score, gap = (np.frombuffer(x, float)[at] if len(x) else np.zeros(0) for x in (self.score, self.gap))
+        out, low = [], 0
+        for c in chains:
+            high = low + len(c)
+            first = int(ends[low - 1]) if low else 0
+            out.append((every[first : int(ends[high - 1]) if high else 0], self._merged(c, float(score[low:high].sum()), gap[low:high], ends[low:high] - first)))
+            low = high
+        return out
 
     def encode(self, text: str) -> tuple[np.ndarray, list[tuple[float, list]]]:
         return self.encode_all([text])[0]
@@ -296,24 +321,31 @@ class Encoder:
             if len(self.ranked) >= UNITS_KEPT // 4:
                 self.ranked.clear()
             top = [(s, self.v.ids_of(unit, path)) for s, path in Lattice(unit, self.v).n_best(self.n)]
-            best = np.frombuffer(self.kept[unit][0], np.int32).tolist()
+            best = np.frombuffer(self.ids[self.row[unit]], np.int32).tolist()
             rest = [(top[0][0] - s, ids) for s, ids in top if ids != best]
             own = self.ranked[unit] = [(0.0, best), *rest][: self.n]
         return own
 
-    def _merged(self, chain: list[str]) -> tuple[np.ndarray, list[tuple[float, list]]]:
-        found = list(map(self.kept.__getitem__, chain))
-        ids, scores, gaps = zip(*found) if found else ((), (), ())
+    def _merged(self, chain: list[str], best: float, gaps: np.ndarray, ends: np.ndarray) -> list[tuple[float, list]]:
+        """The N best segmentations of a chain; ends are its units' in pieces."""
         ranked: list[tuple[float, tuple]] = [(0.0, ())]  # losses, and the units whose pieces change
-        for gap, i in heapq.nsmallest(self.n - 1, zip(gaps, range(len(gaps)))):  # merge this unit's segmentations into those so far
-            if gap < float("inf"):
-                own = self._ranked(chain[i])
-                both = [(a + b, (*edits, (i, k)) if k else edits) for a, edits in ranked for k, (b, _) in enumerate(own)]
-                ranked = heapq.nsmallest(self.n, both)
-        best = float(sum(scores))
-        starts = [0, *accumulate(len(x) // 4 for x in ids)] if len(ranked) > 1 else []
-        out = [(best - loss, [(starts[i], starts[i + 1] - starts[i], self._ranked(chain[i])[k][1]) for i, k in sorted(edits)]) for loss, edits in ranked]
-        return np.frombuffer(b"".join(ids), np.int32), out
+        for i in self._closest(gaps):  # merge this unit's segmentations into those so far
+            own = self._ranked(chain[i])
+            both = [(a + b, (*edits, (i, k)) if k else edits) for a, edits in ranked for k, (b, _) in enumerate(own)]
+            ranked = sorted(both)[: self.n]
+
+        def edit(i: int, k: int) -> tuple[int, int, list[int]]:
+            start = int(ends[i - 1]) if i else 0
+            return start, int(ends[i]) - start, self._ranked(chain[i])[k][1]
+
+        return [(best - loss, [edit(i, k) for i, k in sorted(edits)]) for loss, edits in ranked]
+
+    def _closest(self, gaps: np.ndarray) -> list[int]:
+        """The n - 1 units with the smallest finite gaps, the first of equal ones."""
+        n = self.n - 1
+        at = np.flatnonzero(gaps <= np.partition(gaps, n - 1)[n - 1]) if 0 < n < len(gaps) else np.arange(len(gaps))
+        at = at[np.isfinite(gaps[at])]
+        return at[np.argsort(gaps[at], kind="stable")][:n].tolist()
 
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best segmentations of a text, best first, each with its score."""

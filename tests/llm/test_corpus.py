@@ -335,6 +335,8 @@ def test_pieces(docs, data, empty):
     for t in [t or "" for t in data.text] + [" lead", "trail  ", "\n\tx", "▁▁ ▁"]:
         ids, found = e.encode(t)
         assert e.decode(ids) == t and found[0][1] == []
+        if len(t) > 10_000:
+            continue  # the plain way below is quadratic
         ranked = e.segmentations(t)
         whole = [pieces.edited(ids.tolist(), edits) for _, edits in found]
         assert len(found) == len(ranked) == len({tuple(x) for x in whole}) and all(e.decode(x) == t for x in whole)
