@@ -206,19 +206,21 @@ class Solver:
             out[hit] = own[slot[hit]]
         return at[out >= 0], out[out >= 0]
 
-    def solve(self, units: list[str]) -> dict[str, tuple[bytes, float, float]]:
-        """For each unit: ids of the best segmentation (int32 bytes), its score, the gap to the second best."""
-        out, by_length = {}, {}
+    def solve(self, units: list[str]) -> tuple[list[str], list[bytes], np.ndarray, np.ndarray]:
+        """The units in an order of its own, and for each: ids of the best segmentation (int32 bytes), its score,
+        the gap to the second best."""
+        by_length: dict[int, list[str]] = {}
         for u in units:
             by_length.setdefault(len(u), []).append(u)
+        order, ids, score, gap = [], [], [np.zeros(0)], [np.zeros(0)]
         for n, all_of in by_length.items():
             for low in range(0, len(all_of), 20_000):
                 part = all_of[low : low + 20_000]
-                if n > self.LONGEST:
-                    out.update((u, one(Lattice(u, self.v))) for u in part)
-                else:
-                    out.update(self._solve(part, n))
-        return out
+                got = zip(*(one(Lattice(u, self.v)) for u in part)) if n > self.LONGEST else self._solve(part, n)
+                order += part
+                for all_, new in zip((ids, score, gap), got):
+                    all_ += list(new) if all_ is ids else [np.array(new, float)]
+        return order, ids, np.concatenate(score), np.concatenate(gap)
 
     def _solve(self, units: list[str], n: int):
         codes, m = self._codes(units, n), len(units)
@@ -262,12 +264,10 @@ class Solver:
         ids = np.where(plain, self.bytes[codes[who, last].clip(max=127)], ids).astype(np.int32)
         long = set(who[ids < 0].tolist())
         flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-        best, gap = forward[n].tolist(), (forward[n] - second).tolist()
-        for r, u in enumerate(units):
-            if r in long:  # letters of several bytes without a piece
-                yield u, one(Lattice(u, self.v))
-            else:
-                yield u, (flat[cuts[r] : cuts[r + 1]], best[r], gap[r])
+        out, best, gap = [flat[a:b] for a, b in zip(cuts, cuts[1:])], forward[n], forward[n] - second
+        for r in long:  # letters of several bytes without a piece
+            out[r], best[r], gap[r] = one(Lattice(units[r], self.v))
+        return out, best, gap
 
 
 def one(lattice: Lattice) -> tuple[bytes, float, float]:
@@ -292,11 +292,11 @@ class Encoder:
         if len(self.row) + len(new) > UNITS_KEPT:
             self._forget()
             new = set().union(*chains)
-        for unit, (ids, score, gap) in self.solver.solve(list(new)).items():
-            self.row[unit] = len(self.ids)
-            self.ids.append(ids)
-            self.score.append(score)
-            self.gap.append(gap)
+        order, ids, score, gap = self.solver.solve(list(new))
+        self.row.update(zip(order, range(len(self.ids), len(self.ids) + len(order))))
+        self.ids += ids
+        self.score.frombytes(score.tobytes())
+        self.gap.frombytes(gap.tobytes())
         flat = list(map(self.row.__getitem__, chain.from_iterable(chains)))
         at = np.array(flat, np.int64)
         pieces = list(map(self.ids.__getitem__, flat))

@@ -370,7 +370,7 @@ def test_n_best_is_exact():
         assert np.allclose([s for s, _ in got], want)
         lattice = pieces.Lattice(unit, v)
         assert np.isclose(lattice.gap(), want[0] - want[1]) if len(want) > 1 else lattice.gap() == float("inf")
-        ids, best, gap = pieces.Solver(v).solve([unit])[unit]
+        _, [ids], [best], [gap] = pieces.Solver(v).solve([unit])
         assert np.isclose(best, want[0]) and (np.isclose(gap, lattice.gap()) or gap == lattice.gap())
         assert ids == pieces.one(lattice)[0]
 
