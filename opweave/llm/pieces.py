@@ -14,7 +14,7 @@ can take part in the N best, and A* runs on those; their gap is exact from forwa
 The N best segmentations of a text come as the best one's pieces, and for each its score and its edits: which
 pieces of the best are replaced by which (``edited`` applies them), as most of a long text is the same in all.
 
-Ties go to the segmentation that A* meets first, by (score, pieces). The vocabulary's path is a
+Ties go to the segmentation that A* meets first. The vocabulary's path is a
 parameter; its pieces travel with the job. Edge cases: a null or empty text has no pieces and one
 segmentation, of score 0; a ``▁`` in a text is spelt in bytes, so that decoding restores every text
 exactly; repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
@@ -135,11 +135,12 @@ class Lattice:
         return self.forward[-1] - max(rest, default=float("-inf"))
 
     def n_best(self, n: int) -> list[tuple[float, list[tuple[int, int]]]]:
-        """Backward A*: the n best segmentations with their scores, best first."""
+        """Backward A*: the n best segmentations with their scores, best first. Of paths that promise the same (but
+        for rounding) the one that is further on goes first, as else every one of many ties would be begun."""
         tick, out = count(), []
-        heap = [(-self.forward[-1], next(tick), self.n, 0.0, None)]
+        heap = [(round(-self.forward[-1], 9), self.n, next(tick), 0.0, None)]
         while heap and len(out) < n:
-            _, _, j, done, path = heapq.heappop(heap)
+            _, j, _, done, path = heapq.heappop(heap)
             if not j:
                 steps = []
                 while path:
@@ -148,7 +149,7 @@ class Lattice:
                 out.append((done, steps))
                 continue
             for i, k, s in self.arcs[j]:
-                heapq.heappush(heap, (-(self.forward[i] + s + done), next(tick), i, done + s, ((i, k), path)))
+                heapq.heappush(heap, (round(-(self.forward[i] + s + done), 9), i, next(tick), done + s, ((i, k), path)))
         return out
 
 
