@@ -46,7 +46,6 @@ _EDGE = ".,;:?\"'#%&*()[]{}<>=~^`-_/\\|!$+"
 #: between letters, or a letter twice.
 _LETTER = re.compile(r"[^\W\d_]")
 _SEVERAL = re.compile(r"[\d@$!|+(€£¡]|[^\W\d_][.\-_*~^'`,:;/\\]+[^\W\d_]|([^\W\d_])\1")
-_TRIPLE = re.compile(r"(.)\1\1")
 #: Log10 probabilities of the channel: a look-alike, a dropped gap or repetition.
 LOOK_COST, DROP_COST = -0.4, -0.2
 #: Letters below this code point count one by one in the character model, all others as one.
@@ -60,11 +59,25 @@ def _letter(c: str) -> str:
 
 
 def trigrams(words: dict[str, int], into: Counter) -> Counter:
-    """Adds the character trigrams of counted words; ``^`` begins and ``$`` ends a word."""
-    for w, n in words.items():
-        s = f"^^{''.join(map(_letter, w))}$"
-        for i in range(2, len(s)):
-            into[s[i - 2 : i + 1]] += n
+    """Adds the character trigrams of counted words, which hold letters alone; ``^`` begins and ``$`` ends a word.
+    Words with a letter three times are left out."""
+    if not words:
+        return into
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    text = "^^" + "$^^".join(words) + "$"
+    c = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), LATIN).astype(np.int64)
+    at = np.flatnonzero(c != ord("^"))  # a letter or an end
+    u, back = np.unique((c[at - 2] * (LATIN + 1) + c[at - 1]) * (LATIN + 1) + c[at], return_inverse=True)
+    counts = np.fromiter(words.values(), np.int64, len(words))
+    triple = np.flatnonzero((c[2:] == c[1:-1]) & (c[2:] == c[:-2]))
+    counts[np.repeat(np.arange(len(words)), sizes + 3)[triple]] = 0
+    weight = np.repeat(counts, sizes + 1)
+    sums = np.bincount(back, weight).astype(np.int64)
+    name = lambda k: chr(k) if k < LATIN else OTHER
+    for k, n in zip(u[sums > 0].tolist(), sums[sums > 0].tolist()):
+        k, z = divmod(k, LATIN + 1)
+        x, y = divmod(k, LATIN + 1)
+        into[name(x) + name(y) + name(z)] += n
     return into
 
 
@@ -138,10 +151,10 @@ def tokens(text: str) -> set[str]:
     """Distinct lower-case tokens of a text, and runs of three and more letters apart as tokens of their own."""
     every = text.lower().split()
     out = set(every)
-    if any(len(t) == 1 for t in out):
-        stripped = [t.strip(_EDGE) or t for t in every]
-        for ok, run in groupby(stripped, lambda t: len(t) == 1):
-            if ok and len(word := "".join(run)) >= 3:
+    single = {t: w for t in out if len(w := t.strip(_EDGE) or t) == 1}
+    if single:
+        for ok, run in groupby(every, single.__contains__):
+            if ok and len(word := "".join(single[t] for t in run)) >= 3:
                 out.add(word)
                 if word[0] in "ai" and len(word) > 3:
                     out.add(word[1:])
@@ -171,8 +184,16 @@ class Scorer:
         self.weights, self.model, self.beta, self.best = weights, model, beta, {}
 
     def _weighed(self, token: str) -> tuple[float, str]:
-        """The largest weight of a token's readings, and the reading."""
-        return max(((max((self.weights.get(g, 0.0) for g in grams(w)), default=0.0), w) for w in readings(token, self.model)), default=(0.0, ""))
+        """The largest weight of a token's readings, by the grams of each, and the reading."""
+        get, best = self.weights.get, (0.0, "")
+        for w in readings(token, self.model):
+            x = get("=" + w, 0.0)
+            for i in range(len(w) - GRAM + 1):
+                if (y := get(w[i : i + GRAM])) is not None and y > x:
+                    x = y
+            if x > best[0]:
+                best = (x, w)
+        return best
 
     def features(self, text: str) -> tuple[float, ...]:
         """Intercept; largest and second largest weight of a word; how many words have weight, damped."""
@@ -218,10 +239,10 @@ def corpus_trigrams(docs: DataFrame) -> dict[str, int]:
         yield pa.record_batch([pa.array(out, pa.string()), pa.array(out.values(), pa.int64())], ["g", "n"])
 
     def fold(words: Counter, out: Counter) -> None:
-        plain = Counter()
+        plain: dict[str, int] = {}
         for t, n in words.items():
-            if (w := t.strip(_EDGE)).isalpha() and not _TRIPLE.search(w):
-                plain[w] += n
+            if (w := t.strip(_EDGE)).isalpha():
+                plain[w] = plain.get(w, 0) + n
         trigrams(plain, out)
         words.clear()
 
