@@ -40,7 +40,7 @@ from opweave.session import table
 
 LENGTH, K = 50, 20
 #: Bytes of text in a segment.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 8 << 20
 #: Bytes of queued suffixes that a sorter holds in memory.
 RAM = 256 << 20
 NOBODY = np.int64(2**63 - 1)
@@ -83,7 +83,7 @@ class InducedSorter:
         self.text, self.depth, self.ram = text, depth, ram
         n = len(text)
         differs = np.flatnonzero(np.r_[text[1:] != text[:-1], True])
-        nxt = differs[np.searchsorted(differs, np.arange(n))]  # where the run of this letter ends
+        nxt = np.repeat(differs, np.diff(np.r_[-1, differs]))  # where the run of this letter ends
         after = np.r_[text[1:], 0]
         self.small = (text < after)[nxt] | (text == 0)  # S type
         self.lms = np.flatnonzero(self.small & np.r_[False, ~self.small[:-1]])
@@ -110,7 +110,7 @@ class InducedSorter:
             covered += 7
         stop = t[at] == 0  # nothing after an end counts
         step = 1
-        while step < self.depth and len(at) > 1:
+        while 2 * step < self.depth and len(at) > 1:  # LMS suffixes are two letters apart or more
             far = np.minimum(np.arange(len(at)) + step, len(at) - 1)
             follow = np.where(stop, 0, names[far] + 1)
             stop = stop | stop[far]
@@ -252,7 +252,7 @@ def named(data: np.ndarray, starts, ends) -> np.ndarray:
 def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First rows of the distinct names, in order of their first 64 bits, and the inverse."""
     _, one, back = np.unique(names["high"], return_index=True, return_inverse=True)
-    if (names[one][back] != names).any():  # 64 bits don't tell them apart: the whole names do
+    if (names["low"][one][back] != names["low"]).any() or (names["n"][one][back] != names["n"]).any():  # 64 bits don't tell them apart: the whole names do
         _, one, back = np.unique(names, return_index=True, return_inverse=True)
     return one, back
 
