@@ -99,6 +99,12 @@ def spans(p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((p[ends] - p[starts]) * down[starts])
 
 
+def rolling(p: np.ndarray, length: int) -> np.ndarray:
+    """``spans`` of all spans of one length."""
+    _, down = _powers(len(p))
+    return mix((p[length:] - p[: len(p) - length]) * down[: len(p) - length])
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of every word after lower-casing A-Z; offsets begin at 0."""
     data = LOWER[data]

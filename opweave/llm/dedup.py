@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opweave.llm._spark import segment, segments
-from opweave.llm._text import mix, prefix, slices, spans, utf8
+from opweave.llm._text import mix, prefix, rolling, slices, utf8
 from opweave.session import table
 
 LENGTH, K = 50, 20
@@ -201,12 +201,11 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int):
             n = len(part) - length + 1
             if n <= 0:
                 continue
-            doc = np.searchsorted(offsets, np.arange(low, low + n), "right") - 1
-            fits = np.arange(low, low + n) + length <= offsets[doc + 1]
-            p = prefix(part)
-            at = np.arange(len(part) - K + 1)
-            h = spans(p, at, at + K)
-            x = h & np.uint64(2**64 - 2**23) | at.astype(np.uint64)
+            counts = np.diff(np.clip(offsets[i : j + 1], low, low + n))  # starts of windows in each document
+            doc = np.repeat(np.arange(i, j), counts)
+            fits = np.arange(low + length, low + length + n) <= np.repeat(offsets[i + 1 : j + 1], counts)
+            h = rolling(prefix(part), K)
+            x = h & np.uint64(2**64 - 2**23) | np.arange(len(h), dtype=np.uint64)
             w, width = length - K + 1, 1
             while 2 * width <= w:
                 x = np.minimum(x[:-width], x[width:])
