@@ -432,9 +432,12 @@ def removals(docs: DataFrame, length: int = LENGTH, ram: int = RAM, keep_text: b
         for d, i in enumerate(t["doc_id"].to_pylist()):
             a, b = cut[d], cut[d + 1]
             g = gone[a:b] if not (copies[d] and b - a >= length) else np.ones(b - a, bool)
-            kept = s.data[a:b][~g].tobytes()
-            spans_ = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum())
-            for c, x in zip(cols, (i, b - a, int(g.sum()), spans_, hashlib.sha256(kept).hexdigest(), kept)):
+            if g.any():
+                kept, removed = s.data[a:b][~g].tobytes(), int(g.sum())
+                spans_ = int(g[0]) + int((g[1:] & ~g[:-1]).sum())
+            else:
+                kept, removed, spans_ = s.data[a:b].tobytes(), 0, 0
+            for c, x in zip(cols, (i, b - a, removed, spans_, hashlib.sha256(kept).hexdigest(), kept)):
                 c.append(x)
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], out_names)
 
