@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from opweave.session import shared, written  # noqa: F401
 
 
-def parts(df: DataFrame, rows_each: int) -> int:
-    """How many groups of about ``rows_each`` rows the frame makes, at least one."""
-    return max(1, -(-df.count() // rows_each))
-
-
 def segments(docs: DataFrame, bytes_each: int) -> int:
     """How many segments of about ``bytes_each`` bytes of text the documents make, at least one."""
     return max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bytes_each))

@@ -13,7 +13,10 @@ How the work is dealt out, all of it exact:
 2. Keys that one set alone has go; the others get their points, and in each key's bucket an R-tree (or,
    for a few points, its only leaf) yields which sets may link. Only a spanning forest leaves a bucket.
 3. Components of the forests are the only places where links can be. Their members' texts meet in
-   tiles of at most two chunks of ``CHUNK`` sets, where bounds and then the sets verify links.
+   tiles, where bounds and then the sets verify links. A component of one chunk (``CHUNK`` sets, ``CHUNK_SHINGLES``
+   shingles) is one tile. A larger one is dealt twice, each time in chunks of another hash: near copies that link
+   densely come out as one class, sent twice however large it is. Pairs within the largest class need no more
+   checks; chunks of the other members meet each other and those of the largest class in further tiles.
 4. Components of the verified links are the result.
 
 Edge cases: a null text is empty; a document without words has no set and links with nothing; equal
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opweave.llm._spark import components, parts, written
+from opweave.llm._spark import components, written
 from opweave.llm._text import mix, shingle_sets
 from opweave.session import table
 
@@ -37,8 +40,8 @@ from opweave.session import table
 GROUPS, LEAST_CLASS = 64, 768
 #: Points in a leaf of the tree, and children of an inner node.
 FANOUT = 32
-#: Sets in a chunk of a candidate component; a tile holds two chunks.
-CHUNK = 1024
+#: Sets, and shingles of sets, in a chunk of a candidate component; a tile holds at most two chunks.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 21
 #: Bounds of the sample that orders common tokens last, and of the list it makes.
 SAMPLE_DOCS, SAMPLE_TOKENS = 10_000, 65_536
 #: Documents behind one bucket of keys.
@@ -209,16 +212,16 @@ def common_tokens(docs: DataFrame, n_docs: int, width: int) -> np.ndarray:
         return pa.table({"key": u[keep].view(np.int64), "n": n[keep]})
 
     share = int(min(1.0, SAMPLE_DOCS / max(1, n_docs)) * 1_000_000)
-    few = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share).select("text")
+    few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share).select("text")
     top = few.mapInArrow(held, _BLOB_DDL).groupBy("bucket").applyInArrow(summed, "key long, n long").orderBy(F.desc("n"), "key").limit(SAMPLE_TOKENS)
     rows = top.toArrow()
     return rows["key"].to_numpy().view(np.uint64)[::-1].copy()
 
 
 def row_key() -> Column:
-    """64-bit name of a row's doc_id and text; only rows that are equal in both share it."""
-    named = F.col("doc_id").cast("long")
-    return F.xxhash64(named, named.isNull(), F.col("text").cast("string"))
+    """128-bit name of a row's doc_id and text; only rows that are equal in both share it (a null text is empty)."""
+    named = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+    return F.unhex(F.md5(F.concat(named, F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))))
 
 
 def doc_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -231,7 +234,7 @@ def doc_sets(docs: DataFrame, width: int) -> DataFrame:
             got = list(shingle_sets(batch["text"], width))
             yield pa.record_batch([batch["doc_id"], batch["key"], pa.array([len(s) for s in got], pa.int64()), pa.array([node_of(s) if len(s) else None for s in got], pa.int64())], names=["doc_id", "key", "n_shingles", "node"])
 
-    return docs.withColumn("key", row_key()).mapInArrow(sets, "doc_id long, key long, n_shingles long, node long")
+    return docs.withColumn("key", row_key()).mapInArrow(sets, "doc_id long, key binary, n_shingles long, node long")
 
 
 def candidates(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFrame:
@@ -340,14 +343,47 @@ def candidates(docs: DataFrame, n_docs: int, width: int, percent: int) -> DataFr
     return df.groupBy("bucket").applyInArrow(linked, "u long, v long")
 
 
+def _chunks(n: str, weight: str):
+    """How many chunks hold n sets of so many shingles: never more than sets."""
+    return F.least(F.col(n), F.ceil(F.greatest(F.col(n) / CHUNK, F.col(weight) / CHUNK_SHINGLES)))
+
+
+def _each(first, last):
+    return F.explode(F.sequence(first.cast("long"), last.cast("long")))
+
+
 def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (u, v) of links between nodes, enough to connect all that links connect. found: (node, component)."""
-    sized = found.join(found.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).alias("k")), "component")
-    chunk = F.pmod(F.xxhash64("node"), F.col("k"))
-    tiles = sized.withColumn("c", chunk).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("node", F.xxhash64("component", F.least("c", "x"), F.greatest("c", "x")).alias("tile"))
-    keys = sets.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
-    dealt = written(tiles.join(keys, "node"))
-    packs = parts(dealt, 2 * CHUNK)
+    """(node, component): what links connect, of the candidates found(node, component)."""
+    keys = sets.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n"))
+    member = written(found.join(keys, "node"))
+    sized = member.join(member.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("w")).withColumn("k", _chunks("m", "w")), "component")
+    salts = F.when(F.col("k") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    salted = sized.withColumn("salt", F.explode(salts)).withColumn("c", F.pmod(F.xxhash64("node", "salt"), F.col("k")))
+    classes = components(_linked_in_tiles(docs, salted.select("node", "key", "n", F.xxhash64("component", "salt", "c").alias("tile")), width, percent))
+    large = sized.where("k > 1").select("component", "node", "key", "n")
+    if not large.head(1):
+        return classes
+    large = written(large.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node")))
+    by_class = large.groupBy("component", "class").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    main = by_class.groupBy("component").agg(F.max(F.struct("m", "w", "class")).alias("main"), F.sum("m").alias("all_m"), F.sum("w").alias("all_w"))
+    main = main.select("component", "main.*", (F.col("all_m") - F.col("main.m")).alias("rest_m"), (F.col("all_w") - F.col("main.w")).alias("rest_w")).where("rest_m > 0")
+    main = written(main.select("component", F.col("class").alias("main"), _chunks("rest_m", "rest_w").alias("r"), _chunks("m", "w").alias("a")))
+    if not main.head(1):
+        return classes
+    # chunks 0 to r - 1 hold the other members and meet all chunks; chunks r to r + a - 1 hold the largest class
+    own = large.join(main, "component").withColumn("inside", F.col("class") == F.col("main"))
+    own = own.withColumn("c", F.when(F.col("inside"), F.col("r") + F.pmod(F.xxhash64("node"), F.col("a"))).otherwise(F.pmod(F.xxhash64("node"), F.col("r"))))
+    met = own.withColumn("x", _each(F.lit(0), F.when(F.col("inside"), F.col("r")).otherwise(F.col("r") + F.col("a")) - 1))
+    tiles = met.select("node", "key", "n", F.xxhash64("component", F.least("c", "x"), F.greatest("c", "x")).alias("tile"))
+    more = _linked_in_tiles(docs, tiles, width, percent)
+    return components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+
+
+def _linked_in_tiles(docs: DataFrame, tiles: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (u, v) of links between the nodes of a tile, enough to connect all that its links connect. tiles: (node, key, n, tile)."""
+    dealt = written(tiles)
+    n, weight = dealt.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    packs = max(1, -(-n // (2 * CHUNK)), -(-weight // (2 * CHUNK_SHINGLES)))
     texts = docs.groupBy(row_key().alias("key")).agg(F.min("text").alias("text"))  # rows of one key hold one text
     with_text = texts.join(dealt.hint("merge"), "key").select("tile", "node", "text", F.pmod("tile", F.lit(packs)).alias("pack"))
 
@@ -392,7 +428,7 @@ def linked_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = written(doc_sets(docs, width))
     found = written(components(candidates(docs, sets.count(), width, percent)))
-    linked = components(verified(docs, sets, found, width, percent))
+    linked = verified(docs, sets, found, width, percent)
     return sets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
 
 

@@ -110,6 +110,27 @@ def test_jaccard_tiles(docs, data, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_components(docs, 4, 85).collect())) == linked(data, 4, 85)
 
 
+def test_jaccard_large_components(spark, monkeypatch):
+    """A large group whose members all link is sent twice and no more; a long chain, of which only neighbours link,
+    and a group that hangs on a chain come out whole, whatever the sizes of chunks."""
+    sent = []
+    tiled = jaccard._linked_in_tiles
+    monkeypatch.setattr(jaccard, "_linked_in_tiles", lambda docs, tiles, *more: (sent.append(tiles.count()), tiled(docs, tiles, *more))[1])
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    words_ = [f"w{i}" for i in range(700)]
+    dense = [" ".join([*(f"d{i}" for i in range(150)), f"x{k}"]) for k in range(150)]
+    chain = [" ".join(words_[5 * k : 5 * k + 100]) for k in range(60)]  # 97 shingles each, 92 shared by neighbours, 87 by the next
+    hung = [" ".join([*words_[295:390], "tail", f"y{k}"]) for k in range(60)]  # near the chain's last
+    for texts, once in ((dense, True), (chain, False), (chain + hung, False)):
+        data = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+        df = spark.createDataFrame(list(data.itertuples(index=False, name=None)), "doc_id long, text string")
+        for shingles_ in (1 << 21, 1000):
+            monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", shingles_)
+            sent.clear()
+            assert sorted(map(tuple, jaccard.jaccard_components(df, 4, 85).collect())) == linked(data, 4, 85)
+            assert (sent == [2 * len(texts)]) if once else (sent[0] == 2 * len(texts)), sent
+
+
 def test_jaccard_null_and_repeated_ids(spark):
     """Near copies whose doc_id is null or repeated link, and the pipeline keeps one row of each group."""
     import corpus_pipeline as c
