@@ -148,7 +148,23 @@ class StencilOperator(MatrixOperator):
         df = shifted(f, self.weights).where(F.col("i") >= 0)
         if self.shapeout is not None:
             df = df.where(F.col("i") < self.shapeout)
-        return Field(df, self.shapeout, f.keys, f.dense)
+        return Field(df, self.shapeout, f.keys, f.dense and self.covers())
+
+    def covers(self) -> bool:
+        """Whether every row has a weight inside the vector; unknown lengths are taken to."""
+        if self.shapein is None or self.shapeout is None:
+            return True
+        reach = 0
+        for k in sorted(self.weights, reverse=True):
+            if -k <= reach:
+                reach = max(reach, self.shapein - k)
+        return reach >= self.shapeout
+
+    def transpose_(self):
+        """A stencil as well: its entries are never made for a field."""
+        if self.shapein is None and self.shapeout is not None:
+            return super().transpose_()
+        return StencilOperator({-k: w for k, w in self.weights.items()}, self.shapeout, self.shapein, name=f"{self.name}.T")
 
 
 class DifferenceOperator(Axial, StencilOperator):

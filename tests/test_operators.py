@@ -11,7 +11,7 @@ from opweave.operators.dense import DenseBlockDiagonalOperator, DenseOperator, R
 from opweave.operators.diagonal import ConstantOperator, DiagonalOperator, HomothetyOperator, IdentityOperator, MaskOperator, PackOperator, UnpackOperator, ZeroOperator
 from opweave.operators.elementwise import ClipOperator, HardThresholdingOperator, NumexprOperator, PowerOperator, ReciprocalOperator, RoundOperator, SoftThresholdingOperator, SqrtOperator, SquareOperator, To1dOperator, ToNdOperator
 from opweave.operators.reduce import MaxOperator, MinMaxOperator, MinOperator, ProductOperator, ReductionOperator
-from opweave.operators.sparse import BandOperator, DifferenceOperator, EigendecompositionOperator, IntegrationTrapezeOperator, LowerTriangularOperator, SparseOperator, SumOperator, SymmetricBandOperator, SymmetricBandToeplitzOperator, TridiagonalOperator
+from opweave.operators.sparse import BandOperator, DifferenceOperator, EigendecompositionOperator, IntegrationTrapezeOperator, LowerTriangularOperator, SparseOperator, StencilOperator, SumOperator, SymmetricBandOperator, SymmetricBandToeplitzOperator, TridiagonalOperator
 from opweave.operators.transform import ConvolutionNdOperator, ConvolutionOperator, FFTNdOperator, FFTOperator, InverseFFT, Wavelet2dOperator, WaveletOperator, scaling_filter
 from opweave.rules import rule_manager
 from opweave.solvers.cg import LanczosAlgorithm, pcg
@@ -501,3 +501,18 @@ def test_double_loop_on_fields(spark):
     want = double_loop(DenseOperator(a), d, IdentityOperator(4), outer=2, inner=2)
     got = double_loop_field(DenseOperator(a), to_field(spark, d), IdentityOperator(4), 4, outer=2, inner=2)
     assert np.allclose(to_array(got, 4), want, atol=1e-4)
+
+
+def test_transposed_stencil_makes_no_entries(spark, monkeypatch):
+    """The gradient of a smoothness criterion needs D.T of a table's length: none of its entries are the driver's."""
+    x = np.arange(6.0) ** 2
+    c = quadratic_criterion(IdentityOperator(6), np.zeros(6), (2.0,), (DifferenceOperator(6),))
+    wide = StencilOperator({-2: 1.0, 1: 3.0}, 6)
+    expected, spread = c.gradient(x), wide.T(x)
+    with monkeypatch.context() as m:
+        m.setattr(StencilOperator, "entries", lambda self: pytest.fail("entries on the driver"))
+        f = to_field(spark, x)
+        got = quadratic_criterion(IdentityOperator(6), f.values(F.lit(0.0)), (2.0,), (DifferenceOperator(6),)).gradient(f)
+        np.testing.assert_allclose(to_array(got, 6), expected)
+        np.testing.assert_allclose(to_array(wide.T(f), 6), spread)
+    assert not StencilOperator({4: 1.0}, 6).covers() and DifferenceOperator(6).T.covers()
