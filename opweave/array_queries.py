@@ -23,7 +23,7 @@ from opweave.registry import query
 from opweave.session import table
 from opweave.solvers.cg import lanczos_field, pcg
 from opweave.solvers.criteria import Huber, Normp, conjugate_gradient_field, huber_criterion, minimise, quadratic_criterion
-from opweave.values import abs2, complex_, multiply_conjugate
+from opweave.values import abs2, complex_, multiply_conjugate, rounded
 
 #: The embeddings in long form, for SQL: vec_id, i from 0, v.
 LONG = "x as (select vec_id, g.i, embedding[g.i+1]::double v from embeddings, generate_series(0,63) g(i))"
@@ -165,7 +165,7 @@ def _accumulate(operation: str, sql: str):
     def run(s, d):
         x = field(table(s, d, "events"), "event_id", "value")
         out = x.values(F.col("v") + 1.0)
-        return SquareOperator()(x, out=out, operation=operation).df.select(F.col("i").alias("event_id"), F.round("v", 6).alias("y"))
+        return SquareOperator()(x, out=out, operation=operation).df.select(F.col("i").alias("event_id"), rounded("v", 6).alias("y"))
 
 
 _accumulate("add", "value+1+value*value")
@@ -178,13 +178,13 @@ _accumulate("divide", "(value+1)/(value*value)")
 def scalar_function(s, d):
     """A function of arrays that Spark has no expression for goes over Arrow batches."""
     op = asoperator(lambda x: np.hypot(x, 1))
-    return table(s, d, "events").select("event_id", F.round(op(F.col("value")), 6).alias("y"))
+    return table(s, d, "events").select("event_id", rounded(op(F.col("value")), 6).alias("y"))
 
 
 @query("negation", "select event_id, round(3 - value - 2*value,6) y from events")
 def negation(s, d):
     op = 3.0 - asoperator(lambda x: x) - 2 * IdentityOperator()
-    return table(s, d, "events").select("event_id", F.round(op.on_column(F.col("value")), 6).alias("y"))
+    return table(s, d, "events").select("event_id", rounded(op.on_column(F.col("value")), 6).alias("y"))
 
 
 @query("reduce_skipna", "select user_id, round(sum(value) filter (event_id%3<>0),4) y, max(value) filter (event_id%3<>0) mx from events group by 1 having count(*) filter (event_id%3<>0) > 0")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opweave.values import complex_, conjugate, is_complex, lifted, literal, plus, times, total
+from opweave.values import complex_, conjugate, divided, is_complex, lifted, literal, plus, times, total
 
 FLAGS = ("linear", "square", "real", "symmetric", "hermitian", "idempotent", "involutary", "orthogonal", "unitary", "separable")
 
@@ -449,9 +449,18 @@ class Multiplication(Operator):
         return out
 
     def on_column(self, c, index=None):
+        from opweave.operators.elementwise import ReciprocalOperator
+
         out = self.operands[0].on_column(c, index)
         for o in self.operands[1:]:
-            out = out * o.on_column(c, index)
+            parts = o.operands if isinstance(o, Composition) else [o]
+            if isinstance(parts[0], ReciprocalOperator):  # one division, not a product with a reciprocal
+                below = c
+                for p in reversed(parts[1:]):
+                    below = p.on_column(below, index)
+                out = divided(out, below)
+            else:
+                out = out * o.on_column(c, index)
         return out
 
     def on_field(self, f):
@@ -575,10 +584,9 @@ def accumulated(new, out, operation: str = "add"):
     if operation == "divide":
         if bc:
             raise TypeError("a field can't be divided by a complex one")
-        n, operation = F.pow(n, F.lit(-1.0)), "multiply"
     if operation == "subtract":
         n = complex_(-n["re"], -n["im"]) if bc else -n
-    v = times(o, n, ac, bc) if operation == "multiply" else plus(o, n, ac, bc)
+    v = divided(o, n, ac) if operation == "divide" else times(o, n, ac, bc) if operation == "multiply" else plus(o, n, ac, bc)
     return replace(a, df=a.df.join(b.df.select(*keys, F.col("v").alias("w")), keys).withColumn("v", v).drop("w"))
 
 

@@ -64,6 +64,26 @@ def plus(a: Column, b: Column, a_complex: bool, b_complex: bool) -> Column:
     return complex_(a["re"] + b["re"], a["im"] + b["im"])
 
 
+def reciprocal(c: Column) -> Column:
+    """1 / c by a division, whose last digit a power doesn't always share; zeros give infinities."""
+    return F.when(c == 0, F.pow(c, F.lit(-1.0))).otherwise(F.lit(1.0) / c)
+
+
+def divided(a: Column, b: Column, a_complex: bool = False) -> Column:
+    """a / b for a real b, as NumPy has it: zeros give infinities or NaN."""
+    if a_complex:
+        return complex_(divided(a["re"], b), divided(a["im"], b))
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
+def rounded(c: Column | str, digits: int) -> Column:
+    """Doubles rounded as DuckDB does: c times 10**digits to the nearest whole number, halves away from zero. Spark's
+    ``round`` takes the shortest decimal that names c, which differs where few digits are left."""
+    c, k = F.col(c) if isinstance(c, str) else c, F.lit(10.0**digits)
+    out = F.round(c * k, 0) / k
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), c).otherwise(out)
+
+
 def total(c: Column, as_complex: bool) -> Column:
     """The sum, as an aggregate."""
     return F.struct(F.sum(c["re"]).alias("re"), F.sum(c["im"]).alias("im")) if as_complex else F.sum(c)

@@ -26,6 +26,20 @@ def test_query(spark, db, name):
     assert ((a == b) | (a.isna() & b.isna())).all(axis=None)
 
 
+@pytest.mark.parametrize("name", ["accumulate_divide"])
+def test_odd_values(spark, tmp_path, name):
+    """Values whose results have few digits left after the point, zeros of both signs, NaN, infinity and null."""
+    tiny = "3.547685752000917e-08 3.1653495890304654e-09 1.5877851322458563e-07 1.5462014583048437e-09 2.3609930338366525e-09".split()
+    values = [*tiny, "-1.548716759190749e-09", "0.01", "0.0", "-0.0", "-2.5", "'nan'", "'inf'", "null"]
+    c = duckdb.connect()
+    rows = ", ".join(f"({k}::bigint, {v}::double)" for k, v in enumerate(values))
+    c.execute(f"copy (select * from (values {rows}) t(event_id, value)) to '{tmp_path}/events.parquet'")
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    a = [r["y"] for r in QUERIES[name](spark, str(tmp_path)).orderBy("event_id").collect()]
+    b = [r[0] for r in c.execute(f"select y from ({ORACLES[name]}) order by event_id").fetchall()]
+    assert list(map(repr, a)) == list(map(repr, b))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
