@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opweave.expr import Field, Operator
 from opweave.operators.diagonal import at_index
+from opweave.values import reciprocal
 
 
 class ElementwiseOperator(Operator):
@@ -94,6 +95,9 @@ class ReciprocalOperator(PowerOperator):
         with np.errstate(divide="ignore"):
             return 1 / np.asarray(x, float)
 
+    def on_column(self, c, index=None):
+        return reciprocal(c)
+
 
 class SqrtOperator(PowerOperator):
     def __init__(self, n=None):

@@ -22,6 +22,7 @@ from opweave.plans import field, rows
 from opweave.registry import ORACLES, QUERIES, query  # noqa: F401
 from opweave.session import table
 from opweave.solvers.criteria import Huber, Norm2, Normp
+from opweave.values import rounded
 
 LINE = ["l_orderkey", "l_linenumber"]
 
@@ -36,7 +37,7 @@ def _event(name: str, op: Operator, y: str, digits: int | None = 4, value="value
 
     def run(s, d):
         v = op.on_column(F.expr(value), F.col("event_id")) + F.lit(0.0)
-        return table(s, d, "events").select("event_id", (F.round(v, digits) if digits is not None else v).alias("y"))
+        return table(s, d, "events").select("event_id", (rounded(v, digits) if digits is not None else v).alias("y"))
 
     query(name, f"select event_id, {f'round({y}, {digits})' if digits is not None else y} as y from events")(run)
 
@@ -77,7 +78,7 @@ _event("block_slice", BlockSliceOperator([HomothetyOperator(3)], [slice(0, None,
 @query("division", "select event_id, round((value*value)/(value+1), 6) as y from events")
 def division(s, d):
     op = asoperator(np.square) / (PowerOperator(1) + 1.0)
-    return table(s, d, "events").select("event_id", F.round(op.on_column(F.col("value")), 6).alias("y"))
+    return table(s, d, "events").select("event_id", rounded(op.on_column(F.col("value")), 6).alias("y"))
 
 
 @query("diagonal_join", "select l_orderkey, l_linenumber, l_quantity*(1+s_nationkey) as y from lineitem join supplier on l_suppkey=s_suppkey")
