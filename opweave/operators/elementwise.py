@@ -119,8 +119,13 @@ class SquareOperator(PowerOperator):
         return c * c
 
 
+def _log(of, least: float = 0.0):
+    """A logarithm with NumPy's values where Spark gives null: -inf at ``least`` and NaN below."""
+    return lambda c: F.when(c == least, F.lit(float("-inf"))).when(c < least, F.lit(float("nan"))).otherwise(of(c))
+
+
 #: NumPy names of functions of one argument, as Spark's.
-UFUNCS = {"sin": F.sin, "cos": F.cos, "tan": F.tan, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "exp": F.exp, "expm1": F.expm1, "log": F.log, "log2": F.log2, "log10": F.log10, "log1p": F.log1p, "sqrt": F.sqrt, "cbrt": F.cbrt, "absolute": F.abs, "fabs": F.abs, "negative": F.negative, "sign": F.signum, "rint": F.rint, "degrees": F.degrees, "radians": F.radians, "square": lambda c: c * c, "floor": lambda c: F.floor(c).cast("double"), "ceil": lambda c: F.ceil(c).cast("double")}
+UFUNCS = {"sin": F.sin, "cos": F.cos, "tan": F.tan, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "exp": F.exp, "expm1": F.expm1, "log": _log(F.log), "log2": _log(F.log2), "log10": _log(F.log10), "log1p": _log(F.log1p, -1.0), "sqrt": F.sqrt, "cbrt": F.cbrt, "absolute": F.abs, "fabs": F.abs, "negative": F.negative, "sign": F.signum, "rint": F.rint, "degrees": F.degrees, "radians": F.radians, "square": lambda c: c * c, "floor": lambda c: F.floor(c).cast("double"), "ceil": lambda c: F.ceil(c).cast("double")}
 
 
 class UfuncOperator(ElementwiseOperator):

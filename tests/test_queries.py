@@ -26,7 +26,7 @@ def test_query(spark, db, name):
     assert ((a == b) | (a.isna() & b.isna())).all(axis=None)
 
 
-@pytest.mark.parametrize("name", ["accumulate_divide", "division", "reciprocal"])
+@pytest.mark.parametrize("name", ["accumulate_divide", "division", "reciprocal", "ufunc_log"])
 def test_odd_values(spark, tmp_path, name):
     """Values whose results have few digits left after the point, zeros of both signs, NaN, infinity and null."""
     tiny = "3.547685752000917e-08 3.1653495890304654e-09 1.5877851322458563e-07 1.5462014583048437e-09 2.3609930338366525e-09".split()
