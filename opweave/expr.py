@@ -34,6 +34,7 @@ class Field:
     n: int | None = None
     keys: tuple[str, ...] = ()
     dense: bool = True
+    whole: Whole | None = field(default=None, compare=False, repr=False)
 
     def values(self, v: Column) -> Field:
         return replace(self, df=self.df.withColumn("v", v))
@@ -60,6 +61,56 @@ class Field:
         return replace(self, df=df, dense=True)
 
 
+#: Elements that are worked on at once where vectors are rows, and the longest vectors that are kept so.
+AT_ONCE, LONGEST_ROW = 1 << 17, 1024
+
+
+@dataclass(frozen=True, eq=False)
+class Whole:
+    """The vectors behind a field, where each still is one row of a table: operators that say so (``takes_rows``)
+    are applied to batches of rows, so that nothing is shuffled and a task holds one batch. ``table`` has the keys
+    and ``x``, arrays of n numbers; ``rest`` is the field of rows that aren't such arrays (of another length, or
+    with nulls). It describes the field whose ``df`` it names, no other that was made from it."""
+
+    df: DataFrame
+    table: DataFrame
+    rest: Field
+    steps: tuple[Callable, ...] = ()
+
+    def then(self, op: Operator, f: Field) -> Field:
+        rest, m, as_complex = op(self.rest), op.shapeout or f.n, f.is_complex or not op.real
+        kinds = ", ".join([*(f"`{k}` {self.table.schema[k].dataType.simpleString()}" for k in f.keys), "i long", f"v {'struct<re: double, im: double>' if as_complex else 'double'}"])
+        steps = (*self.steps, op.on_rows)
+        rows = self.table.mapInArrow(_batches(steps, f.keys, as_complex), kinds)
+        rest = rest.lifted() if as_complex and not rest.is_complex else rest
+        df = rows.unionByName(rest.df.select(*f.keys, "i", "v"))
+        return Field(df, m, f.keys, rest.dense, Whole(df, self.table, rest, steps))
+
+
+def _batches(steps, keys, as_complex: bool):
+    """Rows (keys..., i, v) of what the steps make of batches of arrays."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(b.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            step = max(1, AT_ONCE // x.shape[1])
+            for at in range(0, len(x), step):
+                y = x[at : at + step]
+                for s in steps:
+                    y = np.asarray(s(y))
+                r, m = y.shape
+                which = pa.array(np.repeat(np.arange(at, at + r), m))
+                v = np.ravel(y)
+                value = pa.StructArray.from_arrays([pa.array(v.real.astype(float)), pa.array(v.imag.astype(float))], ["re", "im"]) if as_complex else pa.array(v.astype(float))
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)).take(which) for k in keys), pa.array(np.tile(np.arange(m), r)), value], [*keys, "i", "v"])
+
+    return run
+
+
 def all_flags(**given: bool) -> dict[str, bool]:
     """Completes flags by what they imply."""
     f = {k: bool(given.get(k, k == "real")) for k in FLAGS}
@@ -80,6 +131,10 @@ def all_flags(**given: bool) -> dict[str, bool]:
     return f
 
 
+def _bare(cls: type) -> Operator:
+    return object.__new__(cls)
+
+
 class Operator:
     """Base of all operators; subclasses give what they can of ``on_array``, ``on_column`` and ``on_field``."""
 
@@ -97,6 +152,10 @@ class Operator:
             return self.flags[key]
         raise AttributeError(key)
 
+    def __reduce__(self):
+        """For executors; subclasses' ``__new__`` may want arguments."""
+        return _bare, (type(self),), self.__dict__
+
     # what subclasses define
 
     def on_array(self, x: np.ndarray) -> np.ndarray:
@@ -121,6 +180,14 @@ class Operator:
             raise TypeError(f"{self.name} takes real fields")
         return f.values(complex_(self.on_column(F.col("v")["re"], F.col("i")), self.on_column(F.col("v")["im"], F.col("i"))))
 
+    def takes_rows(self, n: int) -> bool:
+        """Whether ``on_rows`` is all that the operator does to vectors of length n."""
+        return False
+
+    def on_rows(self, x: np.ndarray) -> np.ndarray:
+        """A batch, one vector a row."""
+        return self.on_array(x)
+
     def conjugate_(self) -> Operator | None:
         return self if self.real else Conjugated(self)
 
@@ -177,6 +244,8 @@ class Operator:
         if isinstance(x, Field):
             if x.n is not None and self.shapein is not None and x.n != self.shapein:
                 raise ValueError(f"{self.name} takes vectors of length {self.shapein}, not {x.n}")
+            if x.whole is not None and x.whole.df is x.df and self.takes_rows(x.n):
+                return x.whole.then(self, x)
             return self.on_field(x)
         if isinstance(x, Column):
             return self.on_column(x)

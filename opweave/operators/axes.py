@@ -28,6 +28,9 @@ class AxisOperator(Operator):
         y = np.moveaxis(self.op(y), -1, x.ndim - 1 + self.axis)
         return y.reshape(*x.shape[:-1], -1)
 
+    def takes_rows(self, n):
+        return n == self.shapein and self.op.takes_rows(self.shape_in[self.axis])
+
     def on_field(self, f: Field) -> Field:
         n, inner = self.shape_in[self.axis], int(np.prod(self.shape_in[self.axis + 1 :]))
         whole = lambda c, k: F.floor(c / F.lit(k)).cast("long")

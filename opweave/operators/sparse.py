@@ -51,6 +51,9 @@ class MatrixOperator(Operator):
         np.add.at(np.moveaxis(out, -1, 0), i, np.moveaxis(a * x[..., j], -1, 0))
         return out
 
+    def takes_rows(self, n):
+        return self.frame is None and self.shapeout is not None and n == self.shapein and len(self.entries()[0]) <= 64 * n
+
     def to_frame(self, spark: SparkSession) -> DataFrame:
         if self.frame is not None:
             return self.frame
@@ -316,6 +319,9 @@ class EigendecompositionOperator(Operator):
     def on_array(self, x):
         return ((x @ self.eigenvectors) * self.eigenvalues) @ self.eigenvectors.T
 
+    def takes_rows(self, n):
+        return n == self.shapein
+
     def on_field(self, f):
         from opweave.operators.dense import DenseOperator
 

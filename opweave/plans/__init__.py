@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opweave.expr import Field, Operator
+from opweave.expr import LONGEST_ROW, Field, Operator, Whole
 
 
 def field(df: DataFrame, index: str | Column, value: str | Column, keys=(), n: int | None = None) -> Field:
@@ -15,8 +17,19 @@ def field(df: DataFrame, index: str | Column, value: str | Column, keys=(), n: i
 
 
 def rows(df: DataFrame, array: str, key: str, n: int | None = None) -> Field:
-    """One vector a row, from an array column."""
-    return Field(df.select(key, F.posexplode(array).alias("i", "v")).select(key, F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v")), n, (key,))
+    """One vector a row, from an array column; the key names one row. With a length n, vectors stay rows for the
+    operators that take them so."""
+
+    def long(t: DataFrame) -> DataFrame:
+        return t.select(key, F.posexplode(array).alias("i", "v")).select(key, F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+
+    f = Field(long(df), n, (key,))
+    if n is None or not 0 < n <= LONGEST_ROW:
+        return f
+    c = F.col(array)
+    full = F.coalesce((F.size(c) == n) & ~F.exists(c, F.isnull), F.lit(False))
+    table = df.where(full).select(key, c.cast("array<double>").alias("x"))
+    return replace(f, whole=Whole(f.df, table, Field(long(df.where(~full)), n, (key,))))
 
 
 def explain(op: Operator, f: Field) -> str:

@@ -1,9 +1,11 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from opweave import I, O, X
-from opweave.expr import Addition, Composition, DeletedOperator, Field, Operator, Variable, asoperator, asoperator1d, multiply
+from opweave.expr import Addition, Composition, DeletedOperator, Field, Group, Operator, Variable, _batches, asoperator, asoperator1d, multiply
 from opweave.operators.axes import AxisOperator
 from opweave.operators.block import BlockColumnOperator, BlockDiagonalOperator, BlockRowOperator, BlockSliceOperator, proxy_group, split
 from opweave.operators.coords import CONVENTIONS, Cartesian2SphericalOperator, Spherical2CartesianOperator
@@ -13,6 +15,7 @@ from opweave.operators.elementwise import ClipOperator, HardThresholdingOperator
 from opweave.operators.reduce import MaxOperator, MinMaxOperator, MinOperator, ProductOperator, ReductionOperator
 from opweave.operators.sparse import BandOperator, DifferenceOperator, EigendecompositionOperator, IntegrationTrapezeOperator, LowerTriangularOperator, SparseOperator, StencilOperator, SumOperator, SymmetricBandOperator, SymmetricBandToeplitzOperator, TridiagonalOperator
 from opweave.operators.transform import ConvolutionNdOperator, ConvolutionOperator, FFTNdOperator, FFTOperator, InverseFFT, Wavelet2dOperator, WaveletOperator, scaling_filter
+from opweave.plans import rows
 from opweave.rules import rule_manager
 from opweave.solvers.cg import LanczosAlgorithm, pcg
 from opweave.solvers.core import IterativeAlgorithm, error_within, steps_done
@@ -516,3 +519,29 @@ def test_transposed_stencil_makes_no_entries(spark, monkeypatch):
         np.testing.assert_allclose(to_array(got, 6), expected)
         np.testing.assert_allclose(to_array(wide.T(f), 6), spread)
     assert not StencilOperator({4: 1.0}, 6).covers() and DifferenceOperator(6).T.covers()
+
+
+@pytest.mark.parametrize("op", [SumOperator(shape=(2, 4), axis=0).T * SumOperator(shape=(2, 4), axis=0), SymmetricBandToeplitzOperator(8, [2, 1])], ids=repr)
+def test_vectors_stay_rows(spark, op):
+    """Nothing is shuffled or joined for whole vectors, and rows of another length or with nulls come out as before."""
+    x = np.random.default_rng(5).normal(size=(5, 8))
+    odd = [(5, [1.0, 2.0]), (6, [1.0, None, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]), (7, None)]
+    df = spark.createDataFrame([*((k, r.tolist()) for k, r in enumerate(x)), *odd], "k long, a array<double>")
+    f = rows(df, "a", "k", 8)
+    y, plain = op(f), op(replace(f, whole=None))
+    assert y.whole is not None and plain.whole is None
+    only = y.whole.table.where("k < 5").mapInArrow(_batches(y.whole.steps, ("k",), y.is_complex), y.df.schema)
+    assert "Exchange" not in only._jdf.queryExecution().executedPlan().toString()
+
+    def values(g):
+        v = F.col("v") if not g.is_complex else F.col("v.re")
+        w = F.lit(0.0) if not g.is_complex else F.col("v.im")
+        return {(k, i): (a, b) for k, i, a, b in g.df.select("k", "i", v, w).collect() if (a, b) != (0, 0)}
+
+    got, before = values(y), values(plain)
+    assert len(got) == y.df.select("k", "i").where("k < 5").count() + sum(k > 4 for k, _ in before)
+    assert {c: repr(v) for c, v in got.items() if c[0] > 4} == {c: repr(v) for c, v in before.items() if c[0] > 4}
+    expected = op.on_rows(x)
+    for (k, i), (a, b) in got.items():
+        if k < 5:
+            np.testing.assert_allclose([a, b], [expected[k, i].real, expected[k, i].imag], atol=1e-9)
