@@ -344,6 +344,9 @@ class WaveletOperator(Operator):
     def _taps(self):
         return F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for t, (a, b) in enumerate(zip(self.low, self.high))])
 
+    def takes_rows(self, n):
+        return n == self.shapein
+
     def on_field(self, f):
         return self._up(f) if self.back else self._down(f)
 
@@ -393,6 +396,12 @@ class Wavelet2dOperator(Operator):
         y = self.cols.on_array(x)
         return np.swapaxes(self.rows.on_array(np.swapaxes(y, -1, -2)), -1, -2)
 
+    def takes_rows(self, n):
+        return n == int(np.prod(self.array_shape))
+
+    def on_rows(self, x):
+        return self.on_array(x.reshape(-1, *self.array_shape)).reshape(len(x), -1)
+
     def on_field(self, f):
         m, n = self.array_shape
         row = F.floor(F.col("i") / F.lit(n)).cast("long")
