@@ -521,7 +521,7 @@ def test_transposed_stencil_makes_no_entries(spark, monkeypatch):
     assert not StencilOperator({4: 1.0}, 6).covers() and DifferenceOperator(6).T.covers()
 
 
-@pytest.mark.parametrize("op", [SumOperator(shape=(2, 4), axis=0).T * SumOperator(shape=(2, 4), axis=0), SymmetricBandToeplitzOperator(8, [2, 1]), Group([DenseOperator(np.stack([np.arange(8) + 1j, np.arange(8.0)])).H, DenseOperator(np.stack([np.arange(8) + 1j, np.arange(8.0)]))]), WaveletOperator("db2", 8, 2), Group([WaveletOperator("db2", 8, 2).T, WaveletOperator("db2", 8, 2)]), Wavelet2dOperator("db2", (2, 4), 1)], ids=repr)
+@pytest.mark.parametrize("op", [SumOperator(shape=(2, 4), axis=0).T * SumOperator(shape=(2, 4), axis=0), SymmetricBandToeplitzOperator(8, [2, 1]), Group([DenseOperator(np.stack([np.arange(8) + 1j, np.arange(8.0)])).H, DenseOperator(np.stack([np.arange(8) + 1j, np.arange(8.0)]))]), WaveletOperator("db2", 8, 2), Group([WaveletOperator("db2", 8, 2).T, WaveletOperator("db2", 8, 2)]), Wavelet2dOperator("db2", (2, 4), 1), FFTNdOperator((2, 4)), FFTOperator(8), ConvolutionOperator([1, 2, 0.5], 8)], ids=repr)
 def test_vectors_stay_rows(spark, op):
     """Nothing is shuffled or joined for whole vectors, and rows of another length or with nulls come out as before."""
     x = np.random.default_rng(5).normal(size=(5, 8))
